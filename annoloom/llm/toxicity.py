@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annoloom.llm.common import SLICE_BYTES, text_slices
+from annoloom.llm.common import SLICE_BYTES, materialise, text_slices
 
 SPAN, DECAY, PIECE = 5, 0.6, 24
 _BITS, _FIRST, _LAST, _GAP = 6, 61, 62, 63
@@ -307,10 +307,13 @@ def may_learn(doc_id: F.Column) -> F.Column:
 def train_toxicity(docs: DataFrame, labels: DataFrame, max_docs: int = 1500, max_chars: int = 20_000) -> ToxicityModel | None:
     """Train on the documents that have a label and may be learnt from."""
     marked = labels.filter(F.col("toxic").isNotNull() & may_learn(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
-    some = docs.filter(F.length("text").between(1, max_chars)).select("doc_id", "text").join(marked, "doc_id")
+    marked = materialise(marked.withColumn("h", F.xxhash64("doc_id")), "marked")
     rows = []
     for y in (0, 1):
-        rows += some.filter(F.col("y") == y).select("text", "y", F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id", "text").limit(max_docs).collect()
+        # twice as many ids, for some have no text or a longer one; at most so many are broadcast
+        ids = marked.filter(F.col("y") == y).orderBy("h", "doc_id").limit(2 * max_docs)
+        some = docs.filter(F.length("text").between(1, max_chars)).select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+        rows += some.orderBy("h", "doc_id", "text").limit(max_docs).collect()
     return fit([r["text"] for r in rows], [r["y"] for r in rows])
 
 
