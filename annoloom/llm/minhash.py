@@ -168,17 +168,29 @@ EDGES_DDL = "a long, b long"
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
+def _spread(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lowest labels over the pairs (a, b)."""
+    while True:
+        before = label.copy()
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        label = label[label]
+        if np.array_equal(before, label):
+            return label
+
+
 def _bucket_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of a spanning forest of the possible pairs in each block pair of a bucket."""
+    """Links of a spanning forest of the possible pairs in a bucket. The unit of one block returns the forest
+    of its own pairs, that of two blocks only what joins their trees."""
     for table in _grouped(batches, ["key", "x", "y"]):
         n = table.num_rows
         group = np.zeros(n, np.int64)
         group[_changes([table.column(k).combine_chunks() for k in ("key", "x", "y")])] = 1
         group = np.cumsum(group)
-        rep = table.column("rep").to_numpy()
-        size = table.column("size").to_numpy()
+        rep, own, size = (table.column(c).to_numpy() for c in ("rep", "own", "size"))
+        across = table.column("x").to_numpy() != table.column("y").to_numpy()
         sig = np.stack([table.column(s).to_numpy() for s in SIGNATURE], axis=1).view(np.uint64)
-        label = np.arange(n)
         at, found = np.arange(n), []
         for step in range(1, n):
             at = at[(at + step < n)]
@@ -191,16 +203,12 @@ def _bucket_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         if not found:
             continue
         a, b = np.concatenate(found, axis=1)
-        while True:
-            low = np.minimum(label[a], label[b])
-            before = label.copy()
-            np.minimum.at(label, a, low)
-            np.minimum.at(label, b, low)
-            label = label[label]
-            if np.array_equal(before, label):
-                break
-        moved = np.flatnonzero(label != np.arange(n))
-        yield pa.RecordBatch.from_arrays([pa.array(rep[label[moved]]), pa.array(rep[moved])], schema=EDGES)
+        same = own[a] == own[b]
+        trees = _spread(np.arange(n), a[same], b[same])
+        inner = np.flatnonzero((trees != np.arange(n)) & ~across)
+        roots = _spread(np.arange(n), trees[a[~same]], trees[b[~same]])
+        outer = np.flatnonzero(roots != np.arange(n))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([rep[trees[inner]], rep[roots[outer]]])), pa.array(np.concatenate([rep[inner], rep[outer]]))], schema=EDGES)
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,7 +294,7 @@ def link_components(docs: DataFrame, classes: DataFrame) -> DataFrame:
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("rep", F.lit("block")), blocks.cast("long")).cast("int")
     dealt = in_bucket.withColumn("own", mine).withColumn("mate", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("key", F.least("own", "mate").alias("x"), F.greatest("own", "mate").alias("y"), "rep", "size", *SIGNATURE)
+    dealt = dealt.select("key", F.least("own", "mate").alias("x"), F.greatest("own", "mate").alias("y"), "own", "rep", "size", *SIGNATURE)
     forest = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "rep").mapInArrow(_bucket_forest, EDGES_DDL)
     groups = components(forest, "candidates")
 
