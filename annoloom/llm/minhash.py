@@ -259,20 +259,26 @@ def _confirm_unit(unit: pa.Table) -> list[tuple[int, int]]:
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(node, label): the smallest node that the links reach, for every node of ``edges`` (a, b)."""
-    edges = edges.filter(F.col("a") != F.col("b"))
-    both = materialise(edges.union(edges.select("b", "a")).toDF("node", "other").distinct(), f"{name}-edges")
-    labels = materialise(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")), f"{name}-labels")
-    while True:
-        other = labels.select(F.col("node").alias("other"), F.col("label").alias("near"))
-        offered = both.join(other, "other").groupBy("node").agg(F.min("near").alias("near"))
-        nearer = labels.join(offered, "node").select("node", "label", F.least("label", "near").alias("near"))
-        jump = labels.select(F.col("node").alias("near"), F.col("label").alias("far"))
-        step = nearer.join(jump, "near").select("node", F.least("near", "far").alias("label"), (F.least("near", "far") != F.col("label")).alias("moved"))
-        step = materialise(step, f"{name}-labels")
-        labels = step.select("node", "label")
-        if step.filter("moved").isEmpty():
-            return labels
+    """(node, label): the smallest node that the links reach, for every node of ``edges`` (a, b). Each round
+    sends every node to its smallest neighbour, four steps at once, and contracts the links accordingly, so
+    that those left to do shrink from round to round."""
+    ordered = lambda df: df.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    edges = materialise(ordered(edges), f"{name}-edges")
+    labels = None
+    while not edges.isEmpty():
+        both = edges.union(edges.select("b", "a")).toDF("node", "other")
+        near = materialise(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")), f"{name}-near")
+        for _ in range(2):
+            near = near.join(near.select(F.col("node").alias("label"), F.col("label").alias("far")), "label").select("node", F.col("far").alias("label"))
+        near = materialise(near, f"{name}-near")
+        a, b = near.toDF("a", "la"), near.toDF("b", "lb")
+        edges = materialise(ordered(edges.join(a, "a").join(b, "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))), f"{name}-edges")
+        if labels is None:
+            labels = near
+        else:
+            step = near.toDF("label", "far")
+            labels = materialise(labels.join(step, "label", "left").select("node", F.coalesce("far", "label").alias("label")), f"{name}-labels")
+    return labels if labels is not None else edges.toDF("node", "label")
 
 
 def _units(members: DataFrame, docs: DataFrame, n_members: int) -> DataFrame:
