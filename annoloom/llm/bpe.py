@@ -28,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annoloom.llm.common import text_list, text_slices
+from annoloom.llm.common import map_arrow, text_list, text_slices
 
 DDL = "doc_id long, ids binary, decoded string"
 OUT = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
 #: The pattern that splits text before the merges: fixed value of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MEAN_CHUNK, WINDOW, NEAR = 256, 8, 64
-CACHE_BYTES = 48 << 20
+CACHE_BYTES = 24 << 20
 _MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15) ** np.arange(1, WINDOW + 1, dtype=np.uint64)) | np.uint64(1)
 _JOIN = re.compile(r"(?<=\S)(?=\s)")
 
@@ -195,7 +195,7 @@ def encode_decode(docs: DataFrame, vocabulary: str) -> DataFrame:
                 decoded = pa.array([d.decode("utf-8", "replace") for _, d in pairs], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([i for i, _ in pairs], pa.binary()), decoded], schema=OUT)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, DDL)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, DDL)
 
 
 def report(docs: DataFrame, vocabulary: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker holds in work arrays at once.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
+#: Rows of an Arrow batch where the session leaves Spark's default: texts are long, and both sides of the
+#: socket hold whole batches.
+BATCH_ROWS, _DEFAULT_ROWS = 1000, 10_000
 #: A key with more than 1/HEAVY of all rows is heavy; so there are fewer than HEAVY such keys.
 HEAVY = 2000
 
@@ -40,6 +43,28 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have Arrow batches of ``BATCH_ROWS``, unless the session sets a size of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) == _DEFAULT_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ddl: str) -> DataFrame:
+    """``mapInArrow`` in small batches; a worker gives memory back after each."""
+    small_batches(df.sparkSession)
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def lent() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch
+                pa.default_memory_pool().release_unused()
+
+        yield from run(lent())
+
+    return df.mapInArrow(tidy, ddl)
+
+
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows with about ``limit`` bytes of text; a longer text stays whole."""
     lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
@@ -81,7 +106,7 @@ def _power(base: int, n: int, name: str) -> np.ndarray:
         got[0] = 1
         got[1:] = base
         np.multiply.accumulate(got, out=got)
-        if size <= 4 * SLICE_BYTES:
+        if size <= 2 * SLICE_BYTES:
             _powers[name] = got
     return got[:n]
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annoloom.llm.common import materialise, skew_safe_lookup, text_list, text_slices
+from annoloom.llm.common import map_arrow, materialise, skew_safe_lookup, text_list, text_slices
 from annoloom.llm.url_filter import split_url
 
 #: Winning paths of up to so many hosts are broadcast; more are looked up by page.
@@ -205,7 +205,7 @@ def vote(pages: DataFrame) -> DataFrame:
                     names=["page_id", "host", "path", "credit"],
                 )
 
-    return _columns(pages).mapInArrow(run, "page_id long, host string, path string, credit double")
+    return map_arrow(_columns(pages), run, "page_id long, host string, path string, credit double")
 
 
 def winning_paths(votes: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
@@ -241,7 +241,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
                 texts = [text_along(blocks(t), w or []) if t else "" for t, w in zip(text_list(part, "html"), own, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), pa.array(urls, pa.string()), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    return rows.mapInArrow(run, "page_id long, url string, text string")
+    return map_arrow(rows, run, "page_id long, url string, text string")
 
 
 def report(pages: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annoloom.llm.common import materialise, mix64, skew_safe_lookup, span_hashes, text_bytes, text_slices, window_hashes, words_of
+from annoloom.llm.common import map_arrow, materialise, mix64, skew_safe_lookup, span_hashes, text_bytes, text_slices, window_hashes, words_of
 
 SHINGLE, PERCENT = 5, 75
 HASHES, BANDS, LOW_BITS = 128, 32, 2
@@ -101,7 +101,7 @@ def featurise(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, "text", 1 << 20):
+            for part in text_slices(batch, "text"):
                 sets, bounds = shingle_sets(part.column("text"))
                 size = np.diff(bounds)
                 full = np.flatnonzero(size > 0)
@@ -118,7 +118,7 @@ def featurise(docs: DataFrame) -> DataFrame:
                 arrays = [pa.array(np.ascontiguousarray(c).view(np.int64)).take(taken) for c in columns] + [lists.take(taken)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size), *arrays], schema=FEATURES)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, FEATURES_DDL)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, FEATURES_DDL)
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -286,7 +286,7 @@ def _units(members: DataFrame, docs: DataFrame, n_members: int) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
     members = F.broadcast(members) if n_members <= BROADCAST_IDS else members
     rows = texts.join(members, "rep").select("unit", "rep", "part", *SIGNATURE, "text")
-    return rows.repartition("unit").sortWithinPartitions("unit", "rep").mapInArrow(_confirm, EDGES_DDL)
+    return map_arrow(rows.repartition("unit").sortWithinPartitions("unit", "rep"), _confirm, EDGES_DDL)
 
 
 def link_components(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -301,7 +301,7 @@ def link_components(docs: DataFrame, classes: DataFrame) -> DataFrame:
     mine = F.pmod(F.xxhash64("rep", F.lit("block")), blocks.cast("long")).cast("int")
     dealt = in_bucket.withColumn("own", mine).withColumn("mate", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("key", F.least("own", "mate").alias("x"), F.greatest("own", "mate").alias("y"), "own", "rep", "size", *SIGNATURE)
-    forest = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "rep").mapInArrow(_bucket_forest, EDGES_DDL)
+    forest = map_arrow(dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "rep"), _bucket_forest, EDGES_DDL)
     groups = components(forest, "candidates")
 
     sized = groups.groupBy("label").agg(F.count("*").alias("m"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annoloom.llm.common import mix64, span_hashes, text_bytes, text_slices, window_hashes, words_of
+from annoloom.llm.common import map_arrow, mix64, span_hashes, text_bytes, text_slices, window_hashes, words_of
 
 #: Fixed limits of the base rule: words a text needs, words of a window, and percent of repeated words.
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 10, 5, 20
@@ -149,7 +149,7 @@ def measure_quality(docs: DataFrame, min_repeat: int = 8) -> DataFrame:
                 got = measure(part.column("text"), min_repeat)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(got[f].astype(np.int64)) for f in OUT.names[1:]]], schema=OUT)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, DDL)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, DDL)
 
 
 def judge_quality(docs: DataFrame, min_repeat: int = 8, max_covered: float = 0.2, max_longest: int = 200) -> DataFrame:

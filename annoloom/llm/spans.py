@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annoloom.llm.common import text_list, text_slices
+from annoloom.llm.common import map_arrow, text_list, text_slices
 
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("base", pa.bool_())])
 OUT = pa.schema([("doc_id", pa.int64()), ("spans", pa.list_(SPAN))])
@@ -25,7 +25,7 @@ def map_spans(docs: DataFrame, find: Callable[[str], list[tuple]]) -> DataFrame:
                 found = [[dict(zip(keys, s, strict=True)) for s in find(t)] if t else [] for t in text_list(part, "text")]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, OUT.field("spans").type)], schema=OUT)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, DDL)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, DDL)
 
 
 def joined(spans: Column | str, base_only: bool = False) -> Column:

@@ -33,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annoloom.llm.common import SLICE_BYTES, materialise, text_slices
+from annoloom.llm.common import SLICE_BYTES, map_arrow, materialise, text_slices
 
 SPAN, DECAY, PIECE = 5, 0.6, 24
 _BITS, _FIRST, _LAST, _GAP = 6, 61, 62, 63
 TABLE = 1 << (3 * _BITS)
 #: Tokens whose scores a Python worker keeps.
-CACHE_TOKENS = 200_000
+CACHE_TOKENS = 100_000
 _LETTER_RUN = re.compile(r"(?<!\S)(?:[^\W\d_]\s){2,}[^\W\d_](?!\S)")
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»„“”‘’…–—¿¡"
 OUT = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
@@ -122,14 +122,14 @@ def pieces_of(token: str) -> list[str]:
 
 
 def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(word indices, codes, weights) for equally long pieces of the words, some thousands at a time."""
+    """(word indices, codes, weights) for equally long pieces of the words, a thousand at a time."""
     groups: dict[int, list[tuple[int, str]]] = {}
     for n, word in enumerate(words):
         for piece in pieces_of(word):
             groups.setdefault(len(piece), []).append((n, piece))
     for length, group in groups.items():
-        for at in range(0, len(group), 4096):
-            part = group[at : at + 4096]
+        for at in range(0, len(group), 1024):
+            part = group[at : at + 1024]
             codes, weights = features([p for _, p in part], length)
             yield np.array([n for n, _ in part]), codes, weights
 
@@ -352,7 +352,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
                 scores = score_texts(part.column("text").to_pylist(), held.value, known)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores)], schema=OUT)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, score double")
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from annoloom.llm.common import map_arrow
+
 #: A broadcast trie larger than so many rules is refused.
 MAX_RULES = 1_000_000
 _END, _PART, _PATHS = "\0end", "\0part", "\0paths"
@@ -108,4 +110,4 @@ def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]], default:
                 verdicts.append(verdict)
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), *[pa.array(x, pa.string()) for x in (hosts, paths, names, verdicts)]], schema=OUT)
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).mapInArrow(run, DDL)
+    return map_arrow(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")), run, DDL)

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from annoloom.llm import bpe, minhash, mixing, pii, toxicity
 from annoloom.llm.catalog import vocabulary_path
-from annoloom.llm.common import load, materialise
+from annoloom.llm.common import load, materialise, small_batches
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -26,6 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on this corpus's labels, scores under 0.5."""
     model = toxicity.train_toxicity(docs, load(spark, sf_dir, "labels"))
     held = spark.sparkContext.broadcast(model)
+    small_batches(spark)
 
     @F.pandas_udf(T.DoubleType())
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -49,6 +50,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with each span of personal data replaced by its kind in brackets; n_chars follows."""
 
+    small_batches(spark)
+
     @F.pandas_udf(T.StringType())
     def redact(texts: pd.Series) -> pd.Series:
         return texts.map(pii.redact_text, na_action="ignore")
