@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annoloom.llm import spans as S
+from annoloom.llm.common import materialise
 
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -70,14 +71,11 @@ def labelled_samples(docs: DataFrame, max_docs: int = 400, max_chars: int = 20_0
     """Label 1: strings drawn uniformly from the alphabets of common encodings. Label 0: words of up to
     ``max_docs`` documents of at most ``max_chars`` characters (chosen by a hash of doc_id), alone and
     joined as identifiers are. These two bounds limit the fit alone, never the scan."""
-    rows = (
-        docs.filter(F.length("text").between(1, max_chars))
-        .select("text", F.xxhash64("doc_id", "text").alias("h"))
-        .orderBy("h")
-        .limit(max_docs)
-        .select("text")
-        .collect()
-    )
+    some = docs.filter(F.length("text").between(1, max_chars)).select("doc_id", "text")
+    # ids first: tasks send no texts but those of the ids chosen
+    ids = some.select("doc_id", F.xxhash64("doc_id").alias("h")).distinct().orderBy("h", "doc_id").limit(max_docs)
+    ids = materialise(ids, "sample")
+    rows = some.join(F.broadcast(ids), "doc_id").orderBy("h", "doc_id", "text").limit(max_docs).select("text").collect()
     words = sorted({w for r in rows for w in re.findall(r"[A-Za-z]{3,}", r["text"])})
     rng = random.Random(seed)
     samples = [(w, 0) for w in words]
