@@ -55,9 +55,10 @@ def with_any_formula(pairs: DataFrame, formulas: DataFrame, group: str) -> DataF
 
 def summary(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Figures of an evaluation table (model, ord, accuracy, n_predictions, total_time, llm_time), for all of it or
-    by run: means over models; time for an element is the ratio of the means."""
+    by run: means over models; a model's times are its
+    first row's (of rows with equal ``ord``, the least); time for an element is the ratio of the means."""
     models = rows.groupBy(*by, "model").agg(
-        F.avg("accuracy").alias("accuracy"), F.min_by("total_time", "ord").alias("total_time"), F.min_by("llm_time", "ord").alias("llm_time"),
+        F.avg("accuracy").alias("accuracy"), F.min(F.struct("ord", "total_time"))["total_time"].alias("total_time"), F.min(F.struct("ord", "llm_time"))["llm_time"].alias("llm_time"),
         F.count("*").alias("n"), F.sum("n_predictions").alias("predictions"), F.max((F.col("n_predictions") > 0).cast("int")).alias("predicted"),
     )
     total = models.groupBy(*by) if by else models.groupBy()
