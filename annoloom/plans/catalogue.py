@@ -488,7 +488,7 @@ _SUMMARY = """models AS (
   SELECT {by} model, avg(accuracy) AS accuracy, min(struct_pack(o := ord, t := total_time)).t AS total_time, min(struct_pack(o := ord, t := llm_time)).t AS llm_time, count(*) AS n, sum(n_predictions) AS predictions, max(CASE WHEN n_predictions > 0 THEN 1 ELSE 0 END) AS predicted
   FROM {rows} GROUP BY {by} model
 ) SELECT {by} count(*) AS models, CAST(sum(predicted) AS BIGINT) AS models_with_predictions, round(avg(accuracy), 6) AS mean_accuracy, round(avg(total_time), 6) AS mean_total_time, round(avg(llm_time), 6) AS mean_llm_time,
-  round(avg(n), 6) AS mean_elements, round(sum(predictions) / sum(n), 6) AS mean_predictions, round(avg(total_time) / avg(n), 6) AS total_time_per_element, round(avg(llm_time) / avg(n), 6) AS llm_time_per_element FROM models {group}"""
+  round(avg(n), 6) AS mean_elements, round(sum(predictions) / sum(n), 6) AS mean_predictions, round(avg(total_time) / avg(n), 5) AS total_time_per_element, round(avg(llm_time) / avg(n), 5) AS llm_time_per_element FROM models {group}"""
 _MEANS = ("mean_accuracy", "mean_total_time", "mean_llm_time", "mean_elements", "mean_predictions", "total_time_per_element", "llm_time_per_element")
 
 
@@ -503,7 +503,7 @@ def _evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rounded(rows: DataFrame) -> DataFrame:
-    return rows.withColumns({c: F.round(c, 6) for c in _MEANS})
+    return rows.withColumns({c: F.round(c, 5 if c.endswith("_per_element") else 6) for c in _MEANS})
 
 
 @query(f"WITH {EVAL}, " + _SUMMARY.format(by="", rows="ev", group=""))
