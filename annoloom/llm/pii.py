@@ -85,8 +85,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     found = []
     found += [("email", a, b) for a, b in _emails(text)]
     for m in IP.finditer(text) if "." in text else ():
-        parts = m[0].split(".")
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in parts):
+        parts = [p.lstrip("0") or "0" for p in m[0].split(".")]
+        if all(len(p) <= 3 and int(p) <= 255 for p in parts):
             found.append(("ip", m.start(), m.end()))
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 14:
@@ -103,8 +103,9 @@ def scan(text: str) -> list[tuple]:
     """All spans of one text, by start, then kind."""
     found = [(k, a, b, _score(text, k, a), True) for k, a, b in base_spans(text)]
     for kind, pattern, valid in (("iban", IBAN, mod97), ("id", ID, None), ("local_phone", LOCAL_PHONE, None)):
+        earlier = S.Cover(found)
         for m in pattern.finditer(text):
-            if (valid and not valid(m[0])) or S.overlaps(found, m.start(), m.end()):
+            if (valid and not valid(m[0])) or earlier.touches(m.start(), m.end()):
                 continue
             score = _score(text, kind, m.start())
             if score >= THRESHOLD:

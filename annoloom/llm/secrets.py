@@ -106,10 +106,10 @@ def base_spans(text: str) -> list[tuple]:
 def scan(text: str, model: MarkovPair) -> list[tuple]:
     """All spans of one text, by start, then kind."""
     found = base_spans(text)
-    own = list(found)
+    base = S.Cover(found)
     for m in CANDIDATE.finditer(text):
         token = m[0]
-        if token.isalpha() or S.overlaps(own, m.start(), m.end()):
+        if token.isalpha() or base.touches(m.start(), m.end()):
             continue
         score = model.score(token)
         if score > model.threshold:

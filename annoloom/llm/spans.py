@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -47,5 +49,14 @@ def in_order(spans: list[tuple], kinds: tuple[str, ...]) -> list[tuple]:
     return sorted(spans, key=lambda s: (s[1], rank[s[0]], s[2]))
 
 
-def overlaps(spans: list[tuple], start: int, end: int) -> bool:
-    return any(s[1] < end and start < s[2] for s in spans)
+class Cover:
+    """Whether a range touches any of some spans, in logarithmic time a question."""
+
+    def __init__(self, spans: list[tuple]):
+        ordered = sorted((s[1], s[2]) for s in spans)
+        self.starts = [a for a, _ in ordered]
+        self.reach = list(accumulate((b for _, b in ordered), max))
+
+    def touches(self, start: int, end: int) -> bool:
+        before = bisect_left(self.starts, end)
+        return before > 0 and self.reach[before - 1] > start

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from annoloom.llm import pii, secrets
+from annoloom.llm import pii, secrets, spans
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -53,6 +53,24 @@ def test_long_runs_take_linear_time():
         secrets.base_spans(text)
 
 
+def test_texts_with_very_many_spans_and_very_long_numbers():
+    assert pii.base_spans("0" * 6000 + "1.2.3.4") == [("ip", 0, 6007)]
+    assert pii.base_spans("1.2.3." + "9" * 6000) == []
+    model = secrets.train([("reader_index", 0), ("q8Zk2LxV0pW7sT4n", 1)])
+    text = "0123456789abcdef0123 reader_index_value_buffer " * 30_000
+    assert len(secrets.scan(text, model)) >= 30_000
+    assert len(pii.scan("a@b.cc tel 020 555 0199 " * 20_000)) == 40_000
+
+
+def test_cover_against_comparing_all_spans():
+    rng = random.Random(3)
+    for _ in range(3000):
+        found = [("x", a, a + rng.randint(1, 9)) for a in (rng.randint(0, 40) for _ in range(rng.randint(0, 6)))]
+        start = rng.randint(0, 45)
+        end = start + rng.randint(1, 6)
+        assert spans.Cover(found).touches(start, end) == any(a < end and start < b for _, a, b in found)
+
+
 def test_added_spans_keep_base_spans_and_do_not_touch_them():
     text = "iban GB82 WEST 1234 5698 7654 32 tel 020 555 0199 ssn 078-05-1120, mail a@b.cc"
     found = pii.scan(text)
