@@ -24,6 +24,9 @@ from annoloom.llm.common import map_arrow, mix64, span_hashes, text_bytes, text_
 
 #: Fixed limits of the base rule: words a text needs, words of a window, and percent of repeated words.
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 10, 5, 20
+#: Limits of the method: share of the words in long repeats (as for repeated ten-word windows in common
+#: corpus rules), and words of one repeat (the usual length from which verbatim text counts as duplicated).
+MAX_COVERED, MAX_LONGEST = 0.1, 50
 SYMBOLS = b"#*$%&|<>"
 FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 DDL = "doc_id long, " + ", ".join(f"{f} long" for f in FIELDS) + ", covered_words long, longest_repeat long"
@@ -152,7 +155,7 @@ def measure_quality(docs: DataFrame, min_repeat: int = 8) -> DataFrame:
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, DDL)
 
 
-def judge_quality(docs: DataFrame, min_repeat: int = 8, max_covered: float = 0.2, max_longest: int = 200) -> DataFrame:
+def judge_quality(docs: DataFrame, min_repeat: int = 8, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST) -> DataFrame:
     """The measures with ``base_failed`` and ``kept``."""
     m = measure_quality(docs, min_repeat)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))

@@ -104,3 +104,17 @@ def test_quality_verdicts(spark):
     got = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in quality.report(docs).collect()}
     assert got == {1: (True, False), 2: (True, False), 3: (False, True), 4: (True, False), 5: (True, False), 6: (False, True)}
     assert quality.report(docs.limit(0)).count() == 0
+
+
+def test_long_repeats_reject_texts_that_the_base_rule_passes(spark):
+    def text(n, *copies):
+        w = [f"w{i}" for i in range(n)]
+        for start, to, size in copies:
+            w[to : to + size] = w[start : start + size]
+        return " ".join(w)
+
+    rows = [(1, text(110, (0, 60, 10))), (2, text(2000, (0, 900, 175))), (3, text(5000, (0, 900, 51))), (4, text(5000, (0, 900, 50))), (5, text(300, (0, 100, 15))), (6, text(110, (0, 60, 7)))]
+    got = {r["doc_id"]: r for r in quality.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(got[i]["covered_words"], got[i]["longest_repeat"]) for i in range(1, 7)] == [(20, 10), (350, 175), (102, 51), (100, 50), (30, 15), (0, 7)]
+    assert not any(r["base_failed"] for r in got.values())
+    assert {i for i, r in got.items() if not r["kept"]} == {1, 2, 3}
