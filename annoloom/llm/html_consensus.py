@@ -5,7 +5,9 @@ without digits). Blocks credit their containers by length and by how little of t
 nearest container in full, the next ones a half and a quarter; ``article`` and ``main`` are credited in
 full wherever they stand. A page votes for its best path; votes are counted per host in Spark; paths with
 a tenth of a host's votes win. Each page is then extracted again along the best winning path that it has,
-or along its own if it has none of them. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
+or along its own if it has none of them. The text that stands beside the path within the containers around
+it is taken too, unless most of it is link text: up to an ``article`` or ``main``, or to the body, whose own
+text, sections, lists, tables and figures count, but no other containers. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
 comments are left out by tag, role, class or id wherever they stand.
 
 Defined cases: null or empty html has an empty text; pages are read whole; a null url, or one without
@@ -37,6 +39,10 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split()
 )
 LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li pre blockquote dt dd figcaption caption td th address summary".split()) | INLINE
+#: What may stand in a head; any other tag, or text, ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta title script style noscript template noframes".split())
+#: Containers that are content where they stand in the body itself.
+FLOW = frozenset("section ul ol dl table figure details".split())
 KEPT = frozenset("html body article main".split())
 ENDED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: Words of a class, id or role that mark what is not the article.
@@ -85,6 +91,8 @@ def blocks(source: str) -> list[tuple[str, str, int]]:
 
     def say(text: str) -> None:
         nonlocal place
+        if stack[-1][0] == "head" and text.strip():
+            stack.pop()
         if text and not stack[-1][2]:
             if not parts or not place:
                 place = next((p for t, p, _ in reversed(stack) if t not in INLINE), "")
@@ -118,6 +126,8 @@ def blocks(source: str) -> list[tuple[str, str, int]]:
             if k > 0:
                 del stack[k:]
             continue
+        if stack[-1][0] == "head" and tag not in IN_HEAD:
+            stack.pop()
         if tag in VOID:
             if tag == "hr":
                 flush()
@@ -154,6 +164,14 @@ def _tag_of(step: str) -> str:
     return step.split(".", 1)[0]
 
 
+def _container(path: str) -> list[str]:
+    """The steps to the nearest element around a block that is no mere text element."""
+    steps = path.split(">") if path else []
+    while steps and _tag_of(steps[-1]) in LEAF:
+        steps.pop()
+    return steps
+
+
 def best_path(found: list[tuple[str, str, int]]) -> tuple[str, float] | None:
     """The path of the container that its blocks credit most, and that credit."""
     credit: dict[str, float] = {}
@@ -164,13 +182,12 @@ def best_path(found: list[tuple[str, str, int]]) -> tuple[str, float] | None:
         if semantic is not None:
             name = ">".join(steps[: semantic + 1])
             credit[name] = credit.get(name, 0.0) + 2 * worth
-        while steps and _tag_of(steps[-1]) in LEAF:
-            steps.pop()
+        steps = _container(path)
         for share in (1.0, 0.5, 0.25):
-            if not steps:
-                break
             name = ">".join(steps)
             credit[name] = credit.get(name, 0.0) + share * worth
+            if not steps:
+                break
             steps.pop()
     if not credit:
         return None
@@ -178,12 +195,44 @@ def best_path(found: list[tuple[str, str, int]]) -> tuple[str, float] | None:
     return path, credit[path]
 
 
+def _with_beside(found: list[tuple[str, str, int]], inside: list[bool], path: str) -> list[bool]:
+    """``inside``, and the blocks beside ``path`` that belong to the same content: a container's own text
+    block by block, other containers in it as wholes."""
+    if all(inside):
+        return inside
+    winner = path.split(">")
+    least = next((k + 1 for k, s in enumerate(winner) if _tag_of(s) in ("article", "main")), 0)
+    beside: dict[int, tuple] = {}
+    size: dict[tuple, list[int]] = {}
+    for i, (p, text, linked) in enumerate(found):
+        if inside[i]:
+            continue
+        steps = _container(p)
+        k = 0
+        while k < min(len(steps), len(winner)) and steps[k] == winner[k]:
+            k += 1
+        if k < least:
+            continue
+        own = k == len(steps)
+        if not own and (k == 0 or _tag_of(winner[k - 1]) in ("html", "body")) and _tag_of(steps[k]) not in FLOW:
+            continue
+        beside[i] = (k, i) if own else (k, steps[k])
+        total = size.setdefault(beside[i], [0, 0])
+        total[0] += len(text)
+        total[1] += linked
+    return [chosen or (i in beside and 2 * size[beside[i]][1] < size[beside[i]][0]) for i, chosen in enumerate(inside)]
+
+
 def text_along(found: list[tuple[str, str, int]], winners: list[str]) -> str:
-    """The blocks under the first of the winning paths that the page has, else under its own best."""
+    """The blocks under the first of the winning paths that the page has, else under its own best, and
+    those beside them."""
     for path in winners:
-        inside = [t for p, t, _ in found if p == path or p.startswith(path + ">")]
-        if inside:
-            return "\n\n".join(inside)
+        if path:
+            inside = [p == path or p.startswith(path + ">") for p, _, _ in found]
+        else:  # the page itself, where text stands outside of all containers
+            inside = [not all(map(_container, (p for p, _, _ in found)))] * len(found)
+        if any(inside):
+            return "\n\n".join(t for (_, t, _), chosen in zip(found, _with_beside(found, inside, path), strict=True) if chosen)
     own = best_path(found)
     return text_along(found, [own[0]]) if own else ""
 

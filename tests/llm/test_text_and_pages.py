@@ -129,6 +129,33 @@ def test_consensus_overrides_a_page(spark):
     assert got[9] == "short"
 
 
+LEAD, LONG = "lead " * 60, "body text " * 200
+
+
+@pytest.mark.parametrize("page,want", [
+    (f"<body><div class=content><h1>T</h1><p>{LEAD}</p><section><p>{LONG}</p></section></div></body>", ["T", LEAD, LONG]),
+    (f"<body><h1>T</h1><p>{LEAD}</p><section><p>{LONG}</p></section><div class=extra>x</div></body>", ["T", LEAD, LONG]),
+    (f"<body><div class=content><p>{LEAD}</p><ul><li>{LONG}</li></ul><p>end</p></div></body>", [LEAD, LONG, "end"]),
+    (f"<body><div class=content><p>{LEAD}</p><table><tbody><tr><td>{LONG}</td></tr></tbody></table></div></body>", [LEAD, LONG]),
+    (f"<body><div class=content><section class=a><p>{LEAD}</p></section><section class=b><p>{LONG}</p></section></div></body>", [LEAD, LONG]),
+    (f"<body><div class=content><p>T</p><div class=b><p>{LONG}</p></div><ul><li><a href=/1>One more</a><li><a href=/2>And more</a></ul></div></body>", ["T", LONG]),
+    (f"<body><p>note</p><main><h1>T</h1><section><p>{LONG}</p></section></main></body>", ["T", LONG]),
+    (f"<html><head><title>t</title><meta charset=x><body><div class=c><p>{LONG}</p></div></body></html>", [LONG]),
+    (f"<html><head><title>t</title><div class=c><p>{LONG}</p></div></html>", [LONG]),
+    (f"<head><script>x</script>\n{LONG}", [LONG]),
+    (f"<h1>T</h1><p>{LONG}</p>", ["T", LONG]),
+])
+def test_text_beside_the_winning_path_is_kept(page, want):
+    assert html_consensus.text_along(html_consensus.blocks(page), []) == "\n\n".join(t.strip() for t in want)
+
+
+def test_text_beside_the_path_of_the_host_is_kept(spark):
+    page = "<body><div class=content><p>{}</p><section><p>{}</p></section></div></body>"
+    rows = [(i, "http://h.x/", page.format("lead", "long text " * 30), 0) for i in range(9)] + [(9, "http://h.x/", page.format("long lead " * 30, "short"), 0)]
+    got = {r["page_id"]: r["text"] for r in html_consensus.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, host int")).collect()}
+    assert got[9] == ("long lead " * 30).strip() + "\n\nshort" and got[0].startswith("lead\n\nlong text")
+
+
 def test_winning_paths_by_page_equal_those_by_broadcast(spark, sf, monkeypatch):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     want = {tuple(r) for r in html_consensus.extract_pages(pages).collect()}
