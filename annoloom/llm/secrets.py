@@ -1,8 +1,9 @@
 """Secret scan: three base patterns, and character Markov models for what they miss.
 
 Two character-bigram models, one of random strings and one of ordinary identifiers, are trained from
-labelled samples; a candidate token's score is its log-likelihood ratio a character. Tokens above the
-threshold that no base span touches become spans of kind ``markov``.
+labelled samples; a candidate token's score is its log-likelihood ratio a character. Every token of 12 or
+more characters of the usual encodings is a candidate, letters alone too. Tokens above the threshold of
+their length that no base span touches become spans of kind ``markov``.
 
 Defined cases: a null or empty text has no spans; texts are scanned whole; only ``doc_id`` and ``text``
 are read, so further columns (clashing names too) are ignored; repeated rows give repeated results; an
@@ -14,6 +15,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterable
 
 import numpy as np
@@ -28,18 +30,29 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-#: A candidate for the models: 20 or more characters of the usual encodings.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: A candidate for the models: as many characters of the usual encodings as the base rule asks for.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+#: Lengths from which thresholds are set apart, for scores of short tokens scatter more, and the samples of
+#: each label that one needs of its own.
+LENGTHS, LEAST_SAMPLES = (12, 14, 16, 20, 28, 40), 50
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 _CODE = np.full(128, len(ALPHABET), np.int64)
 _CODE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
 
 
+def _class_of(length: int) -> int:
+    return bisect_right(LENGTHS, length)
+
+
 class MarkovPair:
     """Bigram log-likelihood ratio: label 1 (random string) against label 0 (ordinary identifier)."""
 
-    def __init__(self, ratio: np.ndarray, threshold: float):
-        self.ratio, self.threshold = ratio, threshold
+    def __init__(self, ratio: np.ndarray, threshold: float, by_length: dict[int, float] | None = None):
+        self.ratio, self.threshold, self.by_length = ratio, threshold, by_length or {}
+
+    def limit(self, length: int) -> float:
+        """The threshold for tokens of ``length`` characters."""
+        return self.by_length.get(_class_of(length), self.threshold)
 
     def score(self, token: str) -> float:
         codes = _CODE[np.frombuffer(token.encode("ascii", "replace"), np.uint8) & 127]
@@ -51,7 +64,7 @@ class MarkovPair:
 def train(samples: Iterable[tuple[str, int]], smoothing: float = 0.5) -> MarkovPair:
     """Fit both models on (string, label) samples. The threshold lies midway between the lowest
     score of nearly all random samples (2nd percentile) and the highest of the ordinary ones, but never
-    under the latter."""
+    under the latter; so does that of each class of lengths with enough samples."""
     samples = list(samples)
     size = len(ALPHABET) + 1
     counts = np.full((2, size, size), smoothing)
@@ -60,17 +73,24 @@ def train(samples: Iterable[tuple[str, int]], smoothing: float = 0.5) -> MarkovP
         np.add.at(counts[label], (codes[:-1], codes[1:]), 1)
     logs = np.log(counts / counts.sum(axis=2, keepdims=True))
     pair = MarkovPair(logs[1] - logs[0], 0.0)
-    ordinary = [pair.score(t) for t, y in samples if y == 0 and len(t) >= 12] or [0.0]
-    strange = [pair.score(t) for t, y in samples if y == 1] or [1.0]
-    top = max(ordinary)
-    pair.threshold = max(top, (top + float(np.percentile(strange, 2))) / 2)
+    scored = [(_class_of(len(t)), y, pair.score(t)) for t, y in samples if y == 1 or len(t) >= LENGTHS[0]]
+
+    def between(ordinary: list[float], strange: list[float]) -> float:
+        top = max(ordinary)
+        return max(top, (top + float(np.percentile(strange, 2))) / 2)
+
+    pair.threshold = between([v for _, y, v in scored if y == 0] or [0.0], [v for _, y, v in scored if y == 1] or [1.0])
+    for k in range(1, len(LENGTHS) + 1):
+        own = [[v for c, y, v in scored if c == k and y == label] for label in (0, 1)]
+        if min(map(len, own)) >= LEAST_SAMPLES:
+            pair.by_length[k] = between(*own)
     return pair
 
 
 def labelled_samples(docs: DataFrame, max_docs: int = 400, max_chars: int = 20_000, random_strings: int = 4000, seed: int = 7) -> list[tuple[str, int]]:
-    """Label 1: strings drawn uniformly from the alphabets of common encodings. Label 0: words of up to
-    ``max_docs`` documents of at most ``max_chars`` characters (chosen by a hash of doc_id), alone and
-    joined as identifiers are. These two bounds limit the fit alone, never the scan."""
+    """Label 1: strings drawn uniformly from the alphabets of common encodings, those of letters alone among
+    them. Label 0: words of up to ``max_docs`` documents of at most ``max_chars`` characters (chosen by a
+    hash of doc_id), alone and joined as identifiers are, also in capitals, numbers, and lines of one symbol. These two bounds limit the fit alone, never the scan."""
     some = docs.filter(F.length("text").between(1, max_chars)).select("doc_id", "text")
     # ids first: tasks send no texts but those of the ids chosen
     ids = some.select("doc_id", F.xxhash64("doc_id").alias("h")).distinct().orderBy("h", "doc_id").limit(max_docs)
@@ -78,17 +98,21 @@ def labelled_samples(docs: DataFrame, max_docs: int = 400, max_chars: int = 20_0
     rows = some.join(F.broadcast(ids), "doc_id").orderBy("h", "doc_id", "text").limit(max_docs).select("text").collect()
     words = sorted({w for r in rows for w in re.findall(r"[A-Za-z]{3,}", r["text"])})
     rng = random.Random(seed)
-    samples = [(w, 0) for w in words]
+    samples = [(w, 0) for w in sorted({*words, *(w.upper() for w in words)})]
     if words:
         for _ in range(2 * random_strings):
             some = [rng.choice(words).lower() for _ in range(rng.randint(2, 5))]
-            style = rng.randrange(4)
-            joined = ("_".join(some), "-".join(some), some[0] + "".join(w.capitalize() for w in some[1:]), "/".join(some))[style]
+            style = rng.randrange(5)
+            joined = ("_".join(some), "-".join(some), some[0] + "".join(w.capitalize() for w in some[1:]), "/".join(some), "".join(some))[style]
+            joined = joined.upper() if rng.random() < 0.2 else joined
             samples.append((joined + str(rng.randrange(100)) * (rng.random() < 0.2), 0))
-    hexes, lower, mixed = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz0123456789", ALPHABET[:64]
-    for i in range(random_strings):
-        alphabet = (hexes, hexes.upper(), lower, mixed[:62], mixed)[i % 5]
-        samples.append(("".join(rng.choice(alphabet) for _ in range(rng.randint(20, 64))), 1))
+    samples += [(str(rng.randrange(10 ** rng.randint(4, 15))), 0) for _ in range(random_strings // 4)]
+    samples += [(rng.choice("-=_+/") * rng.randint(12, 64), 0) for _ in range(random_strings // 8)]
+    hexes, small, capital, digits = "0123456789abcdef", ALPHABET[:26], ALPHABET[26:52], ALPHABET[52:62]
+    alphabets = (hexes, hexes.upper(), small + digits, capital + digits, ALPHABET[:62], ALPHABET[:64], ALPHABET[:62] + "_-", small, capital, ALPHABET[:52])
+    for i in range(2 * random_strings):
+        alphabet = alphabets[i % len(alphabets)]
+        samples.append(("".join(rng.choice(alphabet) for _ in range(rng.randint(12, 24) if i % 20 < 10 else rng.randint(20, 64))), 1))
     return samples
 
 
@@ -109,10 +133,10 @@ def scan(text: str, model: MarkovPair) -> list[tuple]:
     base = S.Cover(found)
     for m in CANDIDATE.finditer(text):
         token = m[0]
-        if token.isalpha() or base.touches(m.start(), m.end()):
+        if base.touches(m.start(), m.end()):
             continue
         score = model.score(token)
-        if score > model.threshold:
+        if score > model.limit(len(token)):
             found.append(("markov", m.start(), m.end(), score, False))
     return S.in_order(found, KINDS)
 

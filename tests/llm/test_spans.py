@@ -92,6 +92,28 @@ def test_markov_models_tell_random_strings_from_identifiers():
     assert ("markov", 7, 39) in [s[:3] for s in secrets.scan(secret, model)]
 
 
+@pytest.fixture(scope="module")
+def trained(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    return docs, secrets.train(secrets.labelled_samples(docs))
+
+
+@pytest.mark.parametrize("alphabet,length,least", [(26, 16, 0.7), (26, 24, 0.95), (52, 12, 0.9), (52, 24, 0.98), (62, 12, 0.9), (62, 16, 0.98), (64, 40, 0.99)])
+def test_random_letters_and_short_passwords_are_scored(trained, alphabet, length, least):
+    rng = random.Random(alphabet * length)
+    texts = ["the key " + "".join(rng.choice(secrets.ALPHABET[:alphabet]) for _ in range(length)) + " is new" for _ in range(400)]
+    found = sum(("markov", 8, 8 + length) in [s[:3] for s in secrets.scan(t, trained[1])] for t in texts)
+    assert found >= least * 400
+
+
+def test_ordinary_tokens_are_no_secrets(trained):
+    docs, model = trained
+    tokens = [t for r in docs.select("text").collect() for t in re.findall(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{12,}(?![A-Za-z0-9+/_=-])", r["text"] or "")]
+    assert len(tokens) > 1000 and sum(bool(secrets.scan(t, model)) for t in tokens) <= 0.002 * len(tokens)
+    for t in ("-" * 30, "=" * 14, "2024-01-15", "031415926535", "reader_buffer_index"):
+        assert not secrets.scan(t, model), t
+
+
 def rows_with_edges(spark):
     texts = [None, "", "é " + "x" * 50_000, 'token = "0123456789abcdef0123"', "mail a@b.cc", "mail a@b.cc"]
     return spark.createDataFrame([(i if i < 5 else 4, t, "clash", 1) for i, t in enumerate(texts)], "doc_id long, text string, spans string, base_sha256 int")
