@@ -16,14 +16,15 @@ import math
 import random
 import re
 from bisect import bisect_right
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annoloom.llm import spans as S
-from annoloom.llm.common import materialise
+from annoloom.llm.common import map_arrow, materialise, text_bytes, text_slices
 
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -61,22 +62,30 @@ class MarkovPair:
         return float(self.ratio[codes[:-1], codes[1:]].mean())
 
 
-def train(samples: Iterable[tuple[str, int]], smoothing: float = 0.5) -> MarkovPair:
+def train(samples: Iterable[tuple[str, int]], smoothing: float = 0.5, corpus: np.ndarray | None = None) -> MarkovPair:
     """Fit both models on (string, label) samples. The threshold lies midway between the lowest
-    score of nearly all random samples (2nd percentile) and the highest of the ordinary ones, but never
-    under the latter; so does that of each class of lengths with enough samples."""
+    score of nearly all random samples (2nd percentile) and the highest of nearly all ordinary ones (99.9th), but
+    never under the latter; so does that of each class of lengths with enough samples. ``corpus`` (``letter_pairs``) joins
+    the ordinary model with the weight that the pairs of the ordinary samples have together, a fifth of it
+    in capitals."""
     samples = list(samples)
     size = len(ALPHABET) + 1
     counts = np.full((2, size, size), smoothing)
     for token, label in samples:
         codes = _CODE[np.frombuffer(token.encode("ascii", "replace"), np.uint8) & 127]
         np.add.at(counts[label], (codes[:-1], codes[1:]), 1)
+    if corpus is not None and corpus.sum():
+        capitals = np.zeros_like(corpus)
+        both = corpus[:52, :52].reshape(2, 26, 2, 26).sum(axis=(0, 2))
+        capitals[26:52, 26:52] = both
+        weight = (counts[0] - smoothing).sum() / corpus.sum()
+        counts[0] += weight * (0.8 * corpus + 0.2 * capitals)
     logs = np.log(counts / counts.sum(axis=2, keepdims=True))
     pair = MarkovPair(logs[1] - logs[0], 0.0)
     scored = [(_class_of(len(t)), y, pair.score(t)) for t, y in samples if y == 1 or len(t) >= LENGTHS[0]]
 
     def between(ordinary: list[float], strange: list[float]) -> float:
-        top = max(ordinary)
+        top = float(np.percentile(ordinary, 99.9))
         return max(top, (top + float(np.percentile(strange, 2))) / 2)
 
     pair.threshold = between([v for _, y, v in scored if y == 0] or [0.0], [v for _, y, v in scored if y == 1] or [1.0])
@@ -87,6 +96,35 @@ def train(samples: Iterable[tuple[str, int]], smoothing: float = 0.5) -> MarkovP
     return pair
 
 
+def letter_pairs(docs: DataFrame) -> np.ndarray:
+    """How often each letter follows each other one in the texts of all documents, whole. Each task sends
+    one count for each pair that it met."""
+    size = len(ALPHABET) + 1
+    code = np.full(256, 52, np.int64)
+    code[:128] = np.minimum(_CODE, 52)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(53 * 53, np.int64)
+        for batch in batches:
+            for part in text_slices(batch, "text"):
+                data, bounds = text_bytes(part.column("text"))
+                codes = code[data]
+                pairs = codes[:-1] * 53 + codes[1:]
+                inner = bounds[(bounds > 0) & (bounds < len(data))]
+                pairs[inner - 1] = 53 * 53 - 1  # of two texts
+                counts += np.bincount(pairs, minlength=53 * 53)
+        met = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(counts[met])], names=["pair", "n"])
+
+    met = map_arrow(docs.select(F.col("text").cast("string").alias("text")), run, "pair long, n long")
+    out = np.zeros((size, size))
+    for r in met.groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        a, b = divmod(r["pair"], 53)
+        if a < 52 and b < 52:
+            out[a, b] = r["n"]
+    return out
+
+
 def labelled_samples(docs: DataFrame, max_docs: int = 400, max_chars: int = 20_000, random_strings: int = 4000, seed: int = 7) -> list[tuple[str, int]]:
     """Label 1: strings drawn uniformly from the alphabets of common encodings, those of letters alone among
     them. Label 0: words of up to ``max_docs`` documents of at most ``max_chars`` characters (chosen by a
@@ -142,8 +180,9 @@ def scan(text: str, model: MarkovPair) -> list[tuple]:
 
 
 def find_secrets(docs: DataFrame, model: MarkovPair | None = None) -> DataFrame:
-    """(doc_id, spans) for every row. Without a model, one is trained on ``labelled_samples(docs)``."""
-    model = model or train(labelled_samples(docs))
+    """(doc_id, spans) for every row. Without a model, one is trained on ``labelled_samples(docs)``
+    and the letter pairs of all documents."""
+    model = model or train(labelled_samples(docs), corpus=letter_pairs(docs))
     return S.map_spans(docs, lambda text: scan(text, model))
 
 

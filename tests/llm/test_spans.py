@@ -95,7 +95,7 @@ def test_markov_models_tell_random_strings_from_identifiers():
 @pytest.fixture(scope="module")
 def trained(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    return docs, secrets.train(secrets.labelled_samples(docs))
+    return docs, secrets.train(secrets.labelled_samples(docs), corpus=secrets.letter_pairs(docs))
 
 
 @pytest.mark.parametrize("alphabet,length,least", [(26, 16, 0.7), (26, 24, 0.95), (52, 12, 0.9), (52, 24, 0.98), (62, 12, 0.9), (62, 16, 0.98), (64, 40, 0.99)])
@@ -114,6 +114,31 @@ def test_ordinary_tokens_are_no_secrets(trained):
         assert not secrets.scan(t, model), t
 
 
+def test_ordinary_model_learns_from_all_documents(spark):
+    rng = random.Random(6)
+    rare = ["".join(rng.choice("qxzjkwv") for _ in range(rng.randint(12, 18))) for _ in range(300)]
+    texts = [None, "", "ab\u00e9cD a1b"] + ["the reader of a buffer and its handler"] * 300 + ["some " * 5000 + " ".join(rare)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    pairs, want = secrets.letter_pairs(docs), {}
+    for t in texts:
+        for a, b in zip(t or "", (t or "")[1:]):
+            if a.isascii() and b.isascii() and a.isalpha() and b.isalpha():
+                want[a, b] = want.get((a, b), 0) + 1
+    assert {(secrets.ALPHABET[a], secrets.ALPHABET[b]): int(pairs[a, b]) for a, b in zip(*pairs.nonzero())} == want
+    samples = secrets.labelled_samples(docs)
+    alone, model = secrets.train(samples), secrets.train(samples, corpus=pairs)
+    assert sum(bool(secrets.scan(t, alone)) for t in rare) > 250 > 50 > sum(bool(secrets.scan(t, model)) for t in rare)
+    assert secrets.letter_pairs(docs.limit(0)).sum() == 0
+
+
+def test_one_odd_ordinary_sample_does_not_set_the_threshold():
+    rng = random.Random(8)
+    samples = [("_".join(rng.choice(["reader", "buffer", "index", "value"]) for _ in range(4)), 0) for _ in range(3000)]
+    samples += [("".join(rng.choice(secrets.ALPHABET[:62]) for _ in range(24)), 1) for _ in range(3000)]
+    plain, odd = secrets.train(samples), secrets.train([*samples, ("zQ7xK9vJ2wX4qZ8kY5hG", 0)])
+    assert abs(odd.threshold - plain.threshold) < 0.1
+
+
 def rows_with_edges(spark):
     texts = [None, "", "é " + "x" * 50_000, 'token = "0123456789abcdef0123"', "mail a@b.cc", "mail a@b.cc"]
     return spark.createDataFrame([(i if i < 5 else 4, t, "clash", 1) for i, t in enumerate(texts)], "doc_id long, text string, spans string, base_sha256 int")
