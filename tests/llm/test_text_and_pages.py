@@ -1,8 +1,11 @@
 import hashlib
 import math
+import time
+import tracemalloc
 import unicodedata
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
@@ -156,11 +159,110 @@ def test_text_beside_the_path_of_the_host_is_kept(spark):
     assert got[9] == ("long lead " * 30).strip() + "\n\nshort" and got[0].startswith("lead\n\nlong text")
 
 
-def test_winning_paths_by_page_equal_those_by_broadcast(spark, sf, monkeypatch):
-    pages = spark.read.parquet(f"{sf}/pages.parquet")
-    want = {tuple(r) for r in html_consensus.extract_pages(pages).collect()}
-    monkeypatch.setattr(html_consensus, "BROADCAST_HOSTS", -1)
-    assert {tuple(r) for r in html_consensus.extract_pages(pages).collect()} == want
+def odd_pages(spark, sf):
+    """Generated pages, two urls of one id, null ids and urls, repeated rows."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html")
+    good = "<body><div class=story1><p>{}</p></div><div class=extra><p>{}</p></div></body>"
+    rows = [(i % 3 if i % 4 else None, f"http://H{i % 2}.x/{i}" if i % 5 else None, good.format("long text " * (20 + i), "note " * (i % 2))) for i in range(30)]
+    rows += [(1, "http://h1.x/", good.format("short", "long note " * 30)), (None, "http://h0.x/", good.format("short", "long note " * 30)), *rows[:5], (None, None, None), (7, "no", "<p>x")]
+    return pages.unionByName(spark.createDataFrame(rows, pages.schema))
+
+
+def test_pages_equal_brute_force_whatever_the_winners_size(spark, sf, monkeypatch):
+    pages = odd_pages(spark, sf)
+    rows = [tuple(r) for r in pages.collect()]
+    votes, texts = defaultdict(Counter), defaultdict(list)
+    host = lambda u: url_filter.split_url(u)[0]
+    for _, url, source in rows:
+        page = html_consensus.blocks(source or "")
+        best = html_consensus.best_path(page)
+        if best:
+            votes[host(url)][best[0]] += 1
+        for path, text in html_consensus.body_texts(page):
+            texts[host(url), path].append(text)
+    want = []
+    for i, url, source in rows:
+        own, total = votes[host(url)], sum(votes[host(url)].values())
+        signed = lambda p: p - (1 << 64) if p >> 63 else p
+        winners = sorted((p for p in own if own[p] >= 0.1 * total), key=lambda p: (-own[p], signed(p)))
+        templates = {p for (h, p), t in texts.items() if h == host(url) and len(t) >= max(3, 0.1 * total) and 2 * len(set(t)) <= len(t)}
+        want.append((i, url, html_consensus.text_along(html_consensus.blocks(source or ""), winners, templates)))
+    order = lambda r: (r[0] is None, r[0] or 0, r[1] or "", r[2])
+    assert any(t for _, _, t in want if t == "short")
+    for limit in (html_consensus.BROADCAST_BYTES, -1):
+        monkeypatch.setattr(html_consensus, "BROADCAST_BYTES", limit)
+        assert sorted((tuple(r) for r in html_consensus.extract_pages(pages).collect()), key=order) == sorted(want, key=order)
+
+
+class Article(HTMLParser):
+    """The text of generated pages, read by another parser: blocks of the article's h1 and p."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.parts = False, [[]]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside = self.inside or tag == "article"
+        if tag in ("p", "h1"):
+            self.parts.append([])
+        elif tag == "br":
+            self.parts[-1].append(" ")
+
+    def handle_endtag(self, tag):
+        self.inside = self.inside and tag != "article"
+        if tag in ("p", "h1"):
+            self.parts.append([])
+
+    def handle_data(self, data):
+        if self.inside:
+            self.parts[-1].append(data)
+
+
+def test_generated_pages_against_another_parser(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    sources = {r["page_id"]: r["html"] for r in pages.collect()}
+    for r in html_consensus.report(pages).collect():
+        other = Article()
+        other.feed(sources[r["page_id"]])
+        want = "\n\n".join(t for t in (" ".join("".join(p).split()) for p in other.parts) if t)
+        assert (r["text"], r["n_chars"]) == (want, len(want))
+
+
+@pytest.mark.parametrize("page,want", [
+    (f'<div class="page has-sidebar"><article><p>{LONG}</p></article></div>', [LONG]),
+    (f'<article><p>{LEAD}</p><p class="market-share">{LONG}</p><p class="search-results">12</p></article>', [LEAD, LONG, "12"]),
+    ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be <object>one</object> so.</p></article>", ["Let x=1 be one so."]),
+    (f"<body><div class=intro><p>{LEAD}</p></div><div class=content><p>{LONG}</p></div></body>", [LEAD, LONG]),
+    (f"<body><div class=overlay><div class=modal><p>{LONG}</p><div class=ads>Buy</div></div></div></body>", [LONG]),
+    (f"<body><div class=story><p>{LEAD}</p></div><div class=comments><div class=comment><p>{LONG}</p></div></div></body>", [LEAD]),
+    (f"<body><form id=page><div class=c><p>{LONG}</p><form>name <label>l</label></form></div></form></body>", [LONG]),
+    (f"<body><div class=sidebar><p>{LONG}</p></div><div class=story><p>{LONG}</p><p>{LEAD}</p></div></body>", [LONG, LEAD]),
+    (f"<body><div class=story><p>{LONG}<div class=post-comments>c</div><article class=comment>d</article></div></body>", [LONG]),
+    (f'<body><article><div class="post-header"><h1>T</h1></div><p title="class=ad">{LONG}</p></article></body>', ["T", LONG]),
+])
+def test_names_weigh_and_do_not_decide(page, want):
+    assert html_consensus.text_along(html_consensus.blocks(page), []) == "\n\n".join(t.strip() for t in want)
+
+
+HARD = {
+    "deep": "<div>" * 100_000 + "x", "quotes": '<a "' * 250_000, "quotes ended": '<a "' * 250_000 + ">", "less": "<" * 200_000 + ">", "equals": '<a ="' * 100_000 + '>"',
+    "script": "<script>" + "</script" * 60_000 + ">", "bold": "<b>" * 30_000 + "</i>" * 60_000, "ends": "<div>" * 30_000 + "</p>" * 60_000,
+    "runs": "<div>" + "<b>" * 30_000 + "<p>y</p>" * 30_000, "spaces": "<a x" + " " * 1_000_000 + ">", "comments": "<!-- " * 100_000,
+}
+
+
+@pytest.mark.parametrize("name", HARD)
+def test_reading_is_linear(name):
+    page = HARD[name]
+    html_consensus.text_along(html_consensus.blocks(page[:500]), [])
+    begin = time.process_time()
+    html_consensus.text_along(html_consensus.blocks(page), [])
+    assert time.process_time() - begin < 6
+    if name == "deep":
+        tracemalloc.start()
+        html_consensus.text_along(html_consensus.blocks(page), [])
+        assert tracemalloc.get_traced_memory()[1] < 200 << 20
+        tracemalloc.stop()
 
 
 def test_toxicity_on_held_out_rows(spark):
