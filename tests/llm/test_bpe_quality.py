@@ -51,11 +51,55 @@ def test_every_code_point_that_is_taken_by_the_fast_path(coder):
             assert same(coder, f"a{c}b {c}c 1{c}2 .{c}. x {c} {c}{c}y\n{c}"), hex(cp)
 
 
+def test_joins_within_runs_are_repaired(coder, monkeypatch):
+    """Many cuts and small windows: all kinds of joins, against whole encoding."""
+    rng = random.Random(3)
+    kinds = ["東京都の、はa", "abcdefghij", "ab '\n.12", ["the", "re", "in", " ", "e", "s", "'", "st", "ing", "x" * 9, " " * 9], "0123456789", "+/AZaz09"]
+    texts = ["".join(rng.choice(kinds[i % 6]) for _ in range(rng.randint(16, 1500))) for i in range(600)]
+    monkeypatch.setattr(bpe, "MEAN_CHUNK", 8)
+    monkeypatch.setattr(bpe, "CUT_BITS", 3)
+    for least, near, tokens in ((1, 4, 1), (2, 3, 2), (8, 64, 4)):
+        monkeypatch.setattr(bpe, "LEAST_CHUNK", least)
+        monkeypatch.setattr(bpe, "NEAR", near)
+        monkeypatch.setattr(bpe, "TOKENS", tokens)
+        assert all(same(coder, t) for t in texts)
+
+
+def test_passages_without_spaces_are_reused(coder):
+    rng = random.Random(2)
+    passage = "".join(chr(rng.randint(0x4E00, 0x5FFF)) for _ in range(20_000))
+    assert same(coder, "前言" + passage)
+    encoded, reused = coder.encoded_chunks, coder.reused_chunks
+    assert same(coder, "另一篇文章的开头" + passage + "end")
+    assert coder.encoded_chunks - encoded < 10 and coder.reused_chunks - reused > 100
+
+
+def test_very_long_texts(coder):
+    rng = random.Random(4)
+    for text in (" " * 1_000_000 + "x", (" " * 5000 + "word") * 100, "".join(rng.choices("abcdefghij", k=300_000)), "".join(rng.choices("AZaz09+/", k=300_000)), "'s" * 100_000):
+        assert same(coder, text)
+
+
+def test_other_vocabulary_files_are_encoded_whole():
+    import public_tokenizers
+
+    other = bpe.ChunkCoder(public_tokenizers.path("word_bpe_49k.json"))
+    text = "Some Text, with words and 12 numbers. " * 60
+    ids, decoded = other.encode(text)
+    want = other.whole.encode(text, add_special_tokens=False).ids
+    assert not other.chunked and np.frombuffer(ids, "<u4").tolist() == want and decoded.decode() == other.whole.decode(want, skip_special_tokens=False)
+
+
 def test_bpe_report(spark, sf, coder):
-    for docs in (spark.read.parquet(f"{sf}/documents.parquet"), spark.createDataFrame([(1, None, "x"), (2, "", "y"), (2, "é<|endoftext|>", None)], "doc_id long, text string, ids string")):
-        want = {(r["doc_id"], tuple(coder.whole.encode(r["text"] or "", add_special_tokens=False).ids)) for r in docs.collect()}
-        got = {(r["doc_id"], r["n_tokens"], r["ids_sha256"]) for r in bpe.report(docs, vocabulary_path()).collect()}
-        assert got == {(d, len(i), hashlib.sha256(np.array(i, "<u4").tobytes()).hexdigest()) for d, i in want}
+    odd = [(1, None, "x"), (2, "", "y"), (2, "é<|endoftext|>", None), (None, "null id", "z"), (3, "again " * 9, "z"), (3, "again " * 9, "z")]
+    for docs in (spark.read.parquet(f"{sf}/documents.parquet"), spark.createDataFrame(odd, "doc_id long, text string, ids string")):
+        want = Counter()
+        for r in docs.collect():
+            ids = coder.whole.encode(r["text"] or "", add_special_tokens=False).ids
+            decoded = coder.whole.decode(ids, skip_special_tokens=False)
+            want[r["doc_id"], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()] += 1
+        got = Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.report(docs, vocabulary_path()).collect())
+        assert got == want
         assert bpe.report(docs.limit(0), vocabulary_path()).count() == 0
 
 
