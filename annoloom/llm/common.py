@@ -26,21 +26,39 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``. A local session where it is
+    unset gets a temporary one; a cluster has no folder that could stand in for it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="annoloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _local_dirs.setdefault(spark.sparkContext.applicationId, None) or tempfile.mkdtemp(prefix="annoloom-")
+        _local_dirs[spark.sparkContext.applicationId] = base
     return base.rstrip("/")
 
 
+_local_dirs: dict[str, str | None] = {}
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends there, and a
     lost executor costs a re-read, not a recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/annoloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._annoloom_path = path
+    return table
+
+
+def release(table: DataFrame, instead: DataFrame | None = None) -> DataFrame | None:
+    """Delete the files of a table of ``materialise`` that nothing reads any more; returns ``instead``."""
+    path = getattr(table, "_annoloom_path", None)
+    if path:
+        context = table.sparkSession.sparkContext
+        where = context._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+    return instead
 
 
 def small_batches(spark: SparkSession) -> None:

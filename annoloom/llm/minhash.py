@@ -3,16 +3,21 @@
 1. Each text gives its set of 5-word shingles (64-bit hashes), 128 minima, 32 band keys of four minima,
    and a signature of the two low bits of each minimum, packed in four longs.
 2. Texts with equal sets form a class; the smallest doc_id represents it. Copies go no further.
-3. In each band bucket, signatures are compared in blocks by bit counts of their difference. A pair whose
-   collision-corrected similarity (and set sizes) leave the threshold possible joins a group; a block
-   returns a spanning forest of its groups, not its pairs.
-4. The groups are confirmed on full sets. A small group is one unit of work. A large one is dealt into
-   chunks, each with the same few leaders; what stays apart from the largest part is then compared, in
-   pairs of blocks, with all the group. Within a unit, pairs already joined need no comparison; all
-   others that the signature allows are compared exactly. No link between the groups' texts is left out.
+3. In each band bucket, signatures are compared by bit counts of their difference. A pair whose
+   collision-corrected similarity (and set sizes) leave the threshold possible joins a group. A small bucket
+   is one unit of work and returns a spanning forest of its groups, not its pairs. In a large one all meet
+   its few leaders first and those that a leader may be linked with are one group; only what stays apart is
+   compared, in pairs of blocks, with all the bucket.
+4. The groups are confirmed on full sets. A small group is one unit of work. A large one (in rows or in
+   bytes) is dealt into chunks, each with the same few leaders; what stays apart from the largest part then
+   meets all the group in pairs of blocks, by signatures first and, where these leave a link possible, on full
+   sets. Within a unit, pairs already joined need no comparison; all others that the signature allows are
+   compared exactly. No link between the groups' texts is left out.
 5. Connected components of the confirmed links, by minimum labels with pointer jumping, give the result.
 
-No step gathers a group in one task or anything of all documents at the driver.
+Leaders are the members with the smallest of a few hashes, so every large bucket and group has some. No step
+gathers a group in one task or anything of all documents at the driver; labels that many rows share are
+broadcast, not shuffled.
 
 Defined cases: a null or empty text, or one without words, has an empty set and is linked with nothing;
 fewer words than a shingle make one shingle of all; texts are read whole; only ``doc_id`` and ``text`` are
@@ -26,17 +31,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annoloom.llm.common import map_arrow, materialise, mix64, skew_safe_lookup, span_hashes, text_bytes, text_slices, window_hashes, words_of
+from annoloom.llm.common import HEAVY, map_arrow, materialise, mix64, release, skew_safe_lookup, span_hashes, text_bytes, text_slices, window_hashes, words_of
 
 SHINGLE, PERCENT = 5, 75
 HASHES, BANDS, LOW_BITS = 128, 32, 2
 ROWS = HASHES // BANDS
 #: Pairs with an estimate under this are not compared: five standard deviations below the threshold.
 LEAST_ESTIMATE = 0.52
-BLOCK, UNIT, LEADERS = 256, 256, 4
+#: Rows of a bucket's block and of a unit, bytes of a unit's sets, leaders.
+BLOCK, UNIT, UNIT_BYTES, LEADERS = 256, 256, 64 << 20, 4
+#: Rows from which a join on labels looks for heavy ones first; fewer are small in one task, too.
+MANY_ROWS = 1 << 20
 #: Candidate ids up to this many are broadcast to fetch their texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -77,6 +85,11 @@ def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return own, np.searchsorted(owner, np.arange(rows + 1))
 
 
+def _each_set(column: pa.Array) -> list[np.ndarray]:
+    sets, bounds = shingle_sets(column)
+    return [sets[a:b].copy() for a, b in zip(bounds, bounds[1:], strict=False)]
+
+
 def sketches(sets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For the rows with a set: 128-bit digests, packed low bits, and band keys."""
     full = np.flatnonzero(np.diff(bounds) > 0)
@@ -181,34 +194,66 @@ def _spread(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _bucket_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of a spanning forest of the possible pairs in a bucket. The unit of one block returns the forest
-    of its own pairs, that of two blocks only what joins their trees."""
-    for table in _grouped(batches, ["key", "x", "y"]):
+    """Links of a spanning forest of the possible pairs in each unit of a bucket, but those within a part."""
+    for table in _grouped(batches, ["unit"]):
         n = table.num_rows
         group = np.zeros(n, np.int64)
-        group[_changes([table.column(k).combine_chunks() for k in ("key", "x", "y")])] = 1
+        group[_changes([table.column("unit").combine_chunks()])] = 1
         group = np.cumsum(group)
-        rep, own, size = (table.column(c).to_numpy() for c in ("rep", "own", "size"))
-        across = table.column("x").to_numpy() != table.column("y").to_numpy()
-        sig = np.stack([table.column(s).to_numpy() for s in SIGNATURE], axis=1).view(np.uint64)
+        rep, part = table.column("rep").to_numpy(), table.column("part").to_numpy()
         at, found = np.arange(n), []
+        sig, size = _signatures(table)
         for step in range(1, n):
             at = at[(at + step < n)]
             at = at[group[at] == group[at + step]]
             if not len(at):
                 break
-            good = at[_possible(sig[at], sig[at + step], size[at], size[at + step])]
+            good = at[_possible(sig[at], sig[at + step], size[at], size[at + step]) & (part[at] != part[at + step])]
             if len(good):
                 found.append(np.stack([good, good + step]))
         if not found:
             continue
         a, b = np.concatenate(found, axis=1)
-        same = own[a] == own[b]
-        trees = _spread(np.arange(n), a[same], b[same])
-        inner = np.flatnonzero((trees != np.arange(n)) & ~across)
-        roots = _spread(np.arange(n), trees[a[~same]], trees[b[~same]])
-        outer = np.flatnonzero(roots != np.arange(n))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([rep[trees[inner]], rep[roots[outer]]])), pa.array(np.concatenate([rep[inner], rep[outer]]))], schema=EDGES)
+        trees = _spread(np.arange(n), a, b)
+        inner = np.flatnonzero(trees != np.arange(n))
+        yield pa.RecordBatch.from_arrays([pa.array(rep[trees[inner]]), pa.array(rep[inner])], schema=EDGES)
+
+
+def _to_leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, rep, leader): the first of a row's ``leaders`` that a link is possible with, or null."""
+    for batch in batches:
+        n = batch.num_rows
+        sig, size = _signatures(batch)
+        out, leaders = np.full(n, -1), batch.column("leaders")
+        offsets, flat = leaders.offsets.to_numpy(), leaders.values
+        mates = np.stack([flat.field(s).to_numpy() for s in SIGNATURE], axis=1).view(np.uint64)
+        sizes = flat.field("size").to_numpy()
+        for k in range(LEADERS):
+            at = np.flatnonzero((out < 0) & (offsets[:-1] + k < offsets[1:]))
+            mate = offsets[at] + k
+            good = _possible(sig[at], mates[mate], size[at], sizes[mate])
+            out[at[good]] = mate[good]
+        found = pa.array(flat.field("rep").to_numpy()[np.maximum(out, 0)] if n else np.zeros(0, np.int64), mask=out < 0)
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("rep"), found], names=["key", "rep", "leader"])
+
+
+def _involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each unit that may be linked with one of another part."""
+    for table in _grouped(batches, ["unit"]):
+        cutting = [0, *_changes([table.column("unit").combine_chunks()]).tolist(), table.num_rows]
+        part = table.column("part").to_numpy()
+        sig, size = _signatures(table)
+        wanted = np.zeros(table.num_rows, bool)
+        for begin, end in zip(cutting, cutting[1:], strict=False):
+            for i in range(begin, end - 1):
+                good = i + 1 + np.flatnonzero(_possible(sig[i], sig[i + 1 : end], size[i], size[i + 1 : end]) & (part[i] != part[i + 1 : end]))
+                wanted[good] = True
+                wanted[i] |= len(good) > 0
+        yield from table.filter(pa.array(wanted)).combine_chunks().to_batches()
+
+
+def _signatures(rows: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return np.stack([rows.column(s).to_numpy() for s in SIGNATURE], axis=1).view(np.uint64), rows.column("size").to_numpy()
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,8 +272,8 @@ def _confirm_unit(unit: pa.Table) -> list[tuple[int, int]]:
     rep = unit.column("rep").to_numpy()
     part = unit.column("part").to_numpy()
     sig = np.stack([unit.column(s).to_numpy() for s in SIGNATURE], axis=1).view(np.uint64)
-    sets, bounds = shingle_sets(unit.column("text").combine_chunks())
-    size = np.diff(bounds)
+    sets = [own for batch in unit.select(["text"]).to_batches() for part in text_slices(batch, "text") for own in _each_set(part.column("text"))]
+    size = np.array(list(map(len, sets)))
     n = len(rep)
     root: dict[int, int] = {}
 
@@ -249,7 +294,7 @@ def _confirm_unit(unit: pa.Table) -> list[tuple[int, int]]:
         a, b = find(int(part[i])), find(int(part[j]))
         if a == b:
             continue
-        x, y = sets[bounds[i] : bounds[i + 1]], sets[bounds[j] : bounds[j + 1]]
+        x, y = sets[i], sets[j]
         place = np.searchsorted(x, y)
         both = int((x[np.minimum(place, len(x) - 1)] == y).sum())
         if 100 * both >= PERCENT * (len(x) + len(y) - both):
@@ -258,6 +303,20 @@ def _confirm_unit(unit: pa.Table) -> list[tuple[int, int]]:
     return links
 
 
+def _follow(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, which has one row a key. Keys that many of many rows share are
+    broadcast; there are fewer than HEAVY of them."""
+    total = rows.count()
+    if total <= MANY_ROWS:
+        return rows.join(table, key)
+    often = rows.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > total // HEAVY).select(key, F.lit(True).alias("_often"))
+    often = materialise(often, "heavy")
+    heavy = table.join(F.broadcast(often), key, "left_semi")
+    marked = rows.join(F.broadcast(often), key, "left")
+    own = marked.filter("_often").drop("_often").join(F.broadcast(heavy), key)
+    return own.unionByName(marked.filter("_often IS NULL").drop("_often").join(table, key))
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, label): the smallest node that the links reach, for every node of ``edges`` (a, b). Each round
     sends every node to its smallest neighbour, four steps at once, and contracts the links accordingly, so
@@ -269,18 +328,28 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         both = edges.union(edges.select("b", "a")).toDF("node", "other")
         near = materialise(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")), f"{name}-near")
         for _ in range(2):
-            near = near.join(near.select(F.col("node").alias("label"), F.col("label").alias("far")), "label").select("node", F.col("far").alias("label"))
-        near = materialise(near, f"{name}-near")
-        a, b = near.toDF("a", "la"), near.toDF("b", "lb")
-        edges = materialise(ordered(edges.join(a, "a").join(b, "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))), f"{name}-edges")
+            further = _follow(near, near.toDF("label", "far"), "label").select("node", F.col("far").alias("label"))
+            near = release(near, materialise(further, f"{name}-near"))
+        half = _follow(edges, near.toDF("a", "la"), "a").select("la", "b")
+        half = materialise(half, f"{name}-half") if edges.count() > MANY_ROWS else half
+        edges = release(edges, materialise(ordered(_follow(half, near.toDF("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))), f"{name}-edges"))
+        release(half)
         if labels is None:
             labels = near
         else:
+            # every label is a node of the links left, or has none left and stays
             step = near.toDF("label", "far")
-            labels = materialise(labels.join(step, "label", "left").select("node", F.coalesce("far", "label").alias("label")), f"{name}-labels")
+            moved = _follow(labels, step, "label").select("node", F.col("far").alias("label"))
+            labels = release(labels, materialise(moved.unionByName(labels.join(step, "label", "left_anti").select("node", "label")), f"{name}-labels"))
+            release(near)
     return labels if labels is not None else edges.toDF("node", "label")
 
 
+def _leaders(of: str) -> list:
+    """Aggregates for the leaders of a group of column ``of``: the members with the smallest of LEADERS hashes."""
+    return [F.min_by(of, F.xxhash64(of, F.lit(f"lead{k}"))).alias(f"lead{k}") for k in range(LEADERS)]
+
+
 def _units(members: DataFrame, docs: DataFrame, n_members: int) -> DataFrame:
     """Exact links of ``members`` (rep, part, unit, size, signature), whose texts are fetched by rep."""
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
@@ -289,58 +358,100 @@ def _units(members: DataFrame, docs: DataFrame, n_members: int) -> DataFrame:
     return map_arrow(rows.repartition("unit").sortWithinPartitions("unit", "rep"), _confirm, EDGES_DDL)
 
 
+def _dealt(key: str, salt: str, n: Column) -> Column:
+    """One of ``n`` places for a row, by a hash of ``key``."""
+    return F.pmod(F.xxhash64(key, F.lit(salt)), n.cast("long")).cast("int")
+
+
+def _meeting(rows: DataFrame, apart: str, n_apart: Column, n_all: Column, key: str, group: str) -> DataFrame:
+    """``rows`` with ``unit`` such that each row with ``apart`` meets all rows of its ``group``, block by block."""
+    as_all = rows.withColumn("y", _dealt(key, "all", n_all)).withColumn("x", F.explode(F.sequence(F.lit(0), n_apart - 1)))
+    as_apart = rows.filter(apart).withColumn("x", _dealt(key, "apart", n_apart)).withColumn("y", F.explode(F.sequence(F.lit(0), n_all - 1)))
+    return as_all.unionByName(as_apart).withColumn("unit", F.xxhash64(group, "x", "y"))
+
+
+def _candidates(classes: DataFrame) -> DataFrame:
+    """Links (a, b) whose components hold all classes that a band bucket shows to be possibly linked."""
+    own = ["rep", F.col("n_shingles").alias("size"), *SIGNATURE]
+    rows = classes.select(*own, F.explode("bands").alias("key"))
+    buckets = rows.groupBy("key").agg(F.count("*").alias("m"), *_leaders("rep")).filter("m > 1")
+    buckets = materialise(buckets, "buckets")
+    ids = F.array_distinct(F.array(*[f"lead{k}" for k in range(LEADERS)]))
+    in_bucket = skew_safe_lookup(rows, buckets.select("key", "m"), ["key"], "m", classes.count() * BANDS).filter("m > 1")
+    few = in_bucket.filter(F.col("m") <= BLOCK).select(F.col("key").alias("unit"), "rep", F.col("rep").alias("part"), "size", *SIGNATURE)
+    forest = map_arrow(few.repartition("unit").sortWithinPartitions("unit", "rep"), _bucket_forest, EDGES_DDL)
+    large = buckets.filter(F.col("m") > BLOCK)
+    if large.isEmpty():
+        return forest
+
+    # all members of a large bucket meet its leaders
+    named = large.select("key", "m", F.explode(ids).alias("rep"))
+    named = named.join(classes.select(*own), "rep").groupBy("key").agg(F.first("m").alias("m"), F.collect_set(F.struct("rep", "size", *SIGNATURE)).alias("leaders"))
+    many = in_bucket.filter(F.col("m") > BLOCK).drop("m")
+    led = skew_safe_lookup(many, named, ["key"], "m", classes.count() * BANDS).select("key", "rep", "size", *SIGNATURE, "leaders")
+    found = materialise(map_arrow(led, _to_leaders, "key long, rep long, leader long"), "led")
+    to_leader = found.filter("leader IS NOT NULL").select(F.col("rep").alias("a"), F.col("leader").alias("b"))
+    first = large.select(F.explode(F.transform(ids, lambda x: F.struct(F.element_at(ids, 1).alias("a"), x.alias("b")))).alias("e")).select("e.*")
+    forest = forest.union(to_leader).union(first)
+    apart = found.filter("leader IS NULL").groupBy("key").agg(F.count("*").alias("apart"))
+    apart = materialise(apart.join(large.select("key", "m"), "key"), "apart")
+    if apart.isEmpty():
+        return forest
+    # what has no leader meets all of its bucket
+    again = skew_safe_lookup(many, apart, ["key"], "m", classes.count() * BANDS).filter("apart IS NOT NULL")
+    alone = found.filter("leader IS NULL").select("key", "rep", F.lit(True).alias("alone"))
+    again = again.join(alone, ["key", "rep"], "left").withColumn("alone", F.coalesce("alone", F.lit(False)))
+    again = materialise(again.withColumn("part", F.when(F.col("alone"), F.col("rep")).otherwise(F.lit(-(1 << 63)))), "again")
+    half = BLOCK // 2
+    meets = _meeting(again, "alone", F.ceil(F.col("apart") / half).cast("int"), F.ceil(F.col("m") / half).cast("int"), "rep", "key")
+    meets = meets.select("unit", "rep", "part", "size", *SIGNATURE).distinct()
+    return forest.union(map_arrow(meets.repartition("unit").sortWithinPartitions("unit", "rep"), _bucket_forest, EDGES_DDL))
+
+
 def link_components(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, label) of the class representatives that are linked. ``classes`` has rep, n_shingles,
     signature and bands, one row a class."""
-    own = ["rep", F.col("n_shingles").alias("size"), *SIGNATURE]
-    rows = classes.filter(F.col("rep").isNotNull()).select(*own, F.explode("bands").alias("key"))
-    buckets = rows.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
-    total = rows.count()
-    in_bucket = skew_safe_lookup(rows, buckets, ["key"], "m", total).filter("m > 1")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("rep", F.lit("block")), blocks.cast("long")).cast("int")
-    dealt = in_bucket.withColumn("own", mine).withColumn("mate", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("key", F.least("own", "mate").alias("x"), F.greatest("own", "mate").alias("y"), "own", "rep", "size", *SIGNATURE)
-    forest = map_arrow(dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "rep"), _bucket_forest, EDGES_DDL)
-    groups = components(forest, "candidates")
-
-    sized = groups.groupBy("label").agg(F.count("*").alias("m"))
+    classes = classes.filter(F.col("rep").isNotNull())
+    groups = components(_candidates(classes), "candidates")
     n_members = groups.count()
-    member = skew_safe_lookup(groups, sized, ["label"], "m", n_members)
-    member = member.join(classes.select(F.col("rep").alias("node"), *SIGNATURE), "node")
-    chunks = F.ceil(F.col("m") / UNIT).cast("long")
-    own_chunk = F.pmod(F.xxhash64("node", F.lit("chunk")), chunks)
-    # about LEADERS of a large group stand in all its chunks
-    leads = (F.col("m") > UNIT) & (F.pmod(F.xxhash64("node", F.lit("lead")), F.col("m")) < LEADERS)
-    dealt = member.withColumn("chunk", F.explode(F.when(leads, F.sequence(F.lit(0).cast("long"), chunks - 1)).otherwise(F.array(own_chunk))))
+    size = classes.select(F.col("rep").alias("node"), F.col("n_shingles").alias("size"), *SIGNATURE)
+    member = materialise(groups.join(size, "node"), "members")
+    sized = member.groupBy("label").agg(F.count("*").alias("m"), F.sum(8 * F.col("size")).alias("bytes"), *_leaders("node"))
+    chunks = F.ceil(F.greatest(F.col("m") / UNIT, F.col("bytes") / UNIT_BYTES)).cast("long")
+    sized = materialise(sized.withColumn("chunks", chunks), "sized")
+    member = skew_safe_lookup(member, sized, ["label"], "m", n_members)
+    leads = (F.col("chunks") > 1) & F.col("node").isin(*[F.col(f"lead{k}") for k in range(LEADERS)])
+    own_chunk = F.pmod(F.xxhash64("node", F.lit("chunk")), F.col("chunks"))
+    dealt = member.withColumn("chunk", F.explode(F.when(leads, F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array(own_chunk))))
     dealt = dealt.select(F.col("node").alias("rep"), F.col("node").alias("part"), F.xxhash64("label", "chunk").alias("unit"), *SIGNATURE)
     first = materialise(_units(dealt, docs, n_members), "links")
-
-    large = sized.filter(F.col("m") > UNIT)
-    if large.isEmpty():
+    if sized.filter("chunks > 1").isEmpty():
         return components(first, "linked")
+
     parts = components(first, "parts").select("node", F.col("label").alias("part"))
-    inside = member.filter(F.col("m") > UNIT).join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    inside = materialise(inside, "large")
-    by_part = inside.groupBy("label", "part").agg(F.count("*").alias("n"))
-    main = by_part.groupBy("label").agg(F.max(F.struct("n", F.col("part").alias("main"))).alias("top"), F.sum("n").alias("n"))
-    apart = main.select("label", "top.main", (F.col("n") - F.col("top.n")).alias("apart")).filter("apart > 0")
+    inside = member.filter("chunks > 1").select("label", "node", "m", "bytes", "size", *SIGNATURE).join(parts, "node", "left")
+    inside = materialise(inside.withColumn("part", F.coalesce("part", "node")), "large")
+    by_part = inside.groupBy("label", "part").agg(F.count("*").alias("n"), F.sum(8 * F.col("size")).alias("b"))
+    main = by_part.groupBy("label").agg(F.max(F.struct("n", F.col("part").alias("main"), "b")).alias("top"), F.sum("n").alias("n"), F.sum("b").alias("b"))
+    apart = main.select("label", "top.main", (F.col("n") - F.col("top.n")).alias("apart"), (F.col("b") - F.col("top.b")).alias("apart_bytes"), "n")
+    apart = materialise(apart.filter("apart > 0"), "apart")
     if apart.isEmpty():
         return components(first, "linked")
-    # every member apart from the main part meets every member of its group, block by block
-    half = UNIT // 2
-    inside = inside.join(F.broadcast(apart) if apart.count() <= BROADCAST_IDS else apart, "label")
-    n_apart, n_all = F.ceil(F.col("apart") / half).cast("int"), F.ceil(F.col("m") / half).cast("int")
-    block = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), n.cast("long")).cast("int")
-    as_all = inside.withColumn("y", block(n_all, "all")).withColumn("x", F.explode(F.sequence(F.lit(0), n_apart - 1)))
-    as_apart = inside.filter("part <> main").withColumn("x", block(n_apart, "apart")).withColumn("y", F.explode(F.sequence(F.lit(0), n_all - 1)))
-    meets = as_all.unionByName(as_apart).select(F.col("node").alias("rep"), "part", F.xxhash64("label", "x", "y").alias("unit"), *SIGNATURE).distinct()
+    # every member apart from the main part meets every member of its group
+    inside = skew_safe_lookup(inside, apart, ["label"], "n", inside.count()).filter("apart IS NOT NULL")
+    blocks = lambda n, b: F.ceil(F.greatest(F.col(n) / (UNIT // 2), F.col(b) / (UNIT_BYTES // 2))).cast("int")
+    meets = _meeting(inside, "part <> main", blocks("apart", "apart_bytes"), blocks("m", "bytes"), "node", "label")
+    meets = meets.select("unit", F.col("node").alias("rep"), "part", "size", *SIGNATURE).distinct()
+    ddl = "unit long, rep long, part long, size long, " + ", ".join(f"{s} long" for s in SIGNATURE)
+    meets = map_arrow(meets.repartition("unit").sortWithinPartitions("unit", "rep"), _involved, ddl)
+    meets = materialise(meets, "meets")
     second = _units(meets, docs, meets.count())
     return components(first.union(second), "linked")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row."""
+def near_duplicates(docs: DataFrame, sets: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row; with ``sets`` also d0 and d1, which are equal
+    for equal sets and null for empty ones."""
     features = materialise(featurise(docs), "features")
     some = features.filter(F.col("d0").isNotNull())
     classes = some.groupBy("d0", "d1").agg(
@@ -355,4 +466,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = features.select("doc_id", "n_shingles", "d0", "d1")
     found = skew_safe_lookup(rows, lookup, ["d0", "d1"], "n", features.count())
     component = F.coalesce("component", "doc_id")
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    also = ["d0", "d1"] if sets else []
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), *also)
