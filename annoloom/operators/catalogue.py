@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def organisms(index: DataFrame) -> DataFrame:
-    """Distinct organism ids; sort them as text."""
-    return index.select(F.col("tax_id").cast("string").alias("tax_id")).distinct()
+    """Distinct organism ids, sorted as text."""
+    return index.select(F.col("tax_id").cast("string").alias("tax_id")).distinct().orderBy("tax_id")
 
 
 def inventory(names: DataFrame, labels: DataFrame, key: str) -> DataFrame:

@@ -34,15 +34,18 @@ def neighbours(members: DataFrame, targets: DataFrame, group: str, entity: str)
     return members.join(hit, group, "left_semi").select(entity).distinct()
 
 
-def transitions(lines: DataFrame, targets: list[str], line: str = "line") -> DataFrame:
+def transitions(lines: DataFrame, targets: list[str] | DataFrame, line: str = "line", model: str = "model") -> DataFrame:
     """(target, rule) of ``target, rule`` lines without self loops, whose target is one of ``targets`` or whose
-    rule holds one of them as a substring."""
+    rule holds one of them as a substring. A table of targets (model, entity_id) holds each model's own; a model's
+    targets are those of one file."""
+    if isinstance(targets, DataFrame):
+        own = targets.groupBy(model).agg(F.array_sort(F.collect_set("entity_id")).alias("_targets"))
+        lines = lines.join(own, model)
+    else:
+        lines = lines.withColumn("_targets", F.array(*map(F.lit, targets)).cast("array<string>"))
     parts = F.split(line, ",", 2)
     rows = lines.filter(F.contains(line, F.lit(","))).withColumn("target", strip(parts[0])).withColumn("rule", strip(parts[1])).filter("target <> rule")
-    wanted = F.col("target").isin(*targets)
-    for t in targets:
-        wanted = wanted | F.contains("rule", F.lit(t))
-    return rows.filter(wanted)
+    return rows.filter(F.exists("_targets", lambda t: (F.col("target") == t) | F.contains("rule", t))).drop("_targets")
 
 
 def format_of(n_products: Column, n_qualitative: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -70,17 +70,16 @@ def summary(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return out.withColumn("total_time_per_element", each("mean_total_time")).withColumn("llm_time_per_element", each("mean_llm_time"))
 
 
-def common_rows(runs: list[DataFrame], keys: tuple[str, ...]) -> list[DataFrame]:
-    """The rows of each run whose key all runs have."""
-    shared = reduce(lambda a, b: a.intersect(b), [r.select(*keys).distinct() for r in runs])
-    return [r.join(shared, list(keys), "left_semi") for r in runs]
+def common_rows(runs: dict[str, DataFrame], keys: tuple[str, ...]) -> DataFrame:
+    """All rows, with ``source``, whose key every run has: one pass over the runs and one shuffle."""
+    tagged = reduce(DataFrame.unionByName, [r.withColumn("source", F.lit(name)) for name, r in runs.items()])
+    seen = F.size(F.collect_set("source").over(Window.partitionBy(*keys)))
+    return tagged.withColumn("_seen", seen).filter(F.col("_seen") == len(runs)).drop("_seen")
 
 
 def compare_runs(runs: dict[str, DataFrame], keys: tuple[str, ...] = ("model", "species_id")) -> DataFrame:
     """A summary for each run, over the rows that all of them have."""
-    shared = common_rows(list(runs.values()), keys)
-    tagged = [r.withColumn("source", F.lit(name)) for name, r in zip(runs, shared, strict=True)]
-    return summary(reduce(DataFrame.unionByName, tagged), ("source",))
+    return summary(common_rows(runs, keys), ("source",))
 
 
 def replay(saved: DataFrame, previous: DataFrame, key: str = "model") -> tuple[DataFrame, DataFrame]:

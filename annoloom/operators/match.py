@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from annoloom.functions.text import normalise_name
 from annoloom.options import LinkOptions
 
-GRAM = 3
+#: Characters of a gram, and strings that may share one before it is dealt over several places.
+GRAM, HEAVY_GRAM = 3, 100_000
 
 
 def is_unknown(synonyms: Column) -> Column:
@@ -16,22 +17,28 @@ def is_unknown(synonyms: Column) -> Column:
     return (F.size(synonyms) == 1) & (F.element_at(synonyms, 1) == "UNK")
 
 
-def with_default_synonym(entities: DataFrame, synonyms: DataFrame) -> DataFrame:
+def with_default_synonym(entities: DataFrame, synonyms: DataFrame, keys: tuple[str, ...] = ("entity_id",)) -> DataFrame:
     """Entities with their synonyms; one without any gets its own id."""
-    joined = entities.join(synonyms.select("entity_id", "synonyms"), "entity_id", "left")
+    joined = entities.join(synonyms.select(*keys, "synonyms"), list(keys), "left")
     return joined.withColumn("synonyms", F.coalesce("synonyms", F.array("entity_id")))
 
 
 def direct_match(mentions: DataFrame, index: DataFrame, options: LinkOptions | None = None) -> DataFrame:
     """(entity_id, db_id, score, cand_pos). ``mentions`` has (entity_id, synonyms), ``index`` (name, db_id,
-    id_pos, name_ord). The score is hits over synonyms; candidates stand in order of first hit."""
+    id_pos, name_ord). The score is hits over synonyms; candidates stand in order of first hit. Both sides are
+    folded by key before they meet, so a pair comes out of the join once however often its names repeat; hot
+    names are left to the split of skewed joins, for all their pairs are results."""
     options = options or LinkOptions()
     probes = mentions.filter(~is_unknown(F.col("synonyms")) & (F.size("synonyms") > 0))
     probes = probes.select("entity_id", F.size("synonyms").alias("n"), F.posexplode("synonyms").alias("syn_pos", "synonym"))
     probes = probes.withColumn("key", normalise_name(F.col("synonym"))).filter("key <> ''")
+    probes = probes.groupBy("entity_id", "key").agg(F.first("n").alias("n"), F.count("*").alias("times"), F.min("syn_pos").alias("syn_pos"))
     key = F.lower("name") if options.compat else normalise_name(F.col("name"))
-    hits = probes.join(index.withColumn("key", key), "key")
-    scored = hits.groupBy("entity_id", "db_id").agg((F.count("*") / F.first("n")).alias("score"), F.min(F.struct("syn_pos", "name_ord", "id_pos")).alias("first"))
+    known = index.withColumn("key", key).filter("key <> ''")
+    known = known.groupBy("key", "db_id").agg(F.count("*").alias("names"), F.min(F.struct("name_ord", "id_pos")).alias("place"))
+    hits = probes.join(known, "key")
+    first = F.struct("syn_pos", "place.name_ord", "place.id_pos")
+    scored = hits.groupBy("entity_id", "db_id").agg((F.sum(F.col("times") * F.col("names")) / F.first("n")).alias("score"), F.min(first).alias("first"))
     order = Window.partitionBy("entity_id").orderBy("first", "db_id")
     return scored.withColumn("cand_pos", F.row_number().over(order) - 1).drop("first")
 
@@ -48,18 +55,25 @@ def _substrings(text: Column, size: int) -> Column:
 
 
 def partial_pairs(queries: DataFrame, names: DataFrame, query: str = "q", name: str = "ref") -> DataFrame:
-    """All pairs in which one string holds the other, neither being empty. If both have three or more
-    characters, the shorter's first gram is one of the longer's, so pairs meet by gram; pairs with a shorter
-    string meet through its whole text among all substrings of that length. Nothing is compared all with
-    all, and each pair comes out once."""
+    """All pairs in which one string holds the other, neither being empty. Grams of the longer strings are
+    counted; a shorter string looks for the longer ones under the rarest of its own grams (or under its whole
+    text, if that is shorter than a gram), and not at all if one of them never occurs. Grams of more than
+    ``HEAVY_GRAM`` strings are dealt over several places. Each pair comes out once."""
     q = queries.select(F.col(query).alias("q")).distinct().filter("q <> ''")
     r = names.select(F.col(name).alias("r")).distinct().filter("r <> ''")
 
     def inside(short: DataFrame, s: str, long: DataFrame, t: str) -> DataFrame:
-        keyed = short.withColumn("k", F.substring(s, 1, GRAM))
         grams = [_substrings(F.col(t), n) for n in range(1, GRAM + 1)]
         pieces = long.select(t, F.explode(F.flatten(F.array(*grams))).alias("k"))
-        return keyed.join(pieces, "k").filter(F.contains(t, s)).select("q", "r")
+        counted = pieces.groupBy("k").agg(F.count("*").alias("n"))
+        own = F.when(F.length(s) >= GRAM, _substrings(F.col(s), GRAM)).otherwise(F.array(s))
+        sought = short.select(s, F.size(own).alias("own"), F.explode(own).alias("k")).join(counted, "k")
+        sought = sought.groupBy(s).agg(F.min(F.struct("n", "k")).alias("rarest"), F.count("*").alias("met"), F.first("own").alias("own")).filter("met = own")
+        places = F.ceil(F.col("n") / HEAVY_GRAM).cast("int")
+        heavy = counted.filter(F.col("n") > HEAVY_GRAM).select("k", places.alias("places"))
+        keyed = sought.select(s, "rarest.k", "rarest.n").withColumn("place", F.explode(F.sequence(F.lit(0), places - 1))).drop("n")
+        dealt = pieces.join(heavy, "k", "left").withColumn("place", F.pmod(F.xxhash64(t), F.coalesce("places", F.lit(1))).cast("int")).drop("places")
+        return keyed.join(dealt, ["k", "place"]).filter(F.contains(t, s)).select("q", "r")
 
     return inside(q, "q", r, "r").unionByName(inside(r, "r", q, "q").filter("q <> r"))
 

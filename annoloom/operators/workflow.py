@@ -62,3 +62,22 @@ def metrics(table: DataFrame, *, curate: bool = False, annotated: DataFrame | No
         return one.withColumn("accuracy", share("matches", "entities_with_predictions")).drop("matched_entities")
     known = annotated.agg(F.countDistinct("id").alias("known"))
     return one.crossJoin(F.broadcast(known)).withColumn("accuracy", share("matched_entities", "known")).drop("matched_entities", "known")
+
+
+def metrics_by(table: DataFrame, by: str, models: DataFrame, annotated: DataFrame, *, curate: bool = False) -> DataFrame:
+    """One row of figures for each of ``models`` (by, total_entities): those of ``metrics``, with the accuracy of
+    ``annotated`` (by, id) entities. A model without rows has figures of 0."""
+    predicted = F.col("annotation") != ""
+    figures = table.groupBy(by).agg(
+        F.countDistinct(F.when(predicted, F.col("id"))).alias("entities_with_predictions"),
+        F.count(F.when(predicted, 1)).alias("total_predictions"),
+        F.sum("existing").cast("long").alias("matches"),
+        F.countDistinct(F.when(F.col("existing") == 1, F.col("id"))).alias("matched_entities"),
+    )
+    known = annotated.groupBy(by).agg(F.countDistinct("id").alias("known"))
+    counts = ("entities_with_predictions", "total_predictions", "matches", "matched_entities", "known")
+    one = models.join(figures, by, "left").join(known, by, "left").na.fill(0, list(counts))
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
+    one = one.withColumn("annotation_rate", F.coalesce(share("entities_with_predictions", "total_entities"), F.lit(0.0)))
+    accuracy = share("matches", "entities_with_predictions") if curate else share("matched_entities", "known")
+    return one.withColumn("accuracy", accuracy).drop("matched_entities", "known")

@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annoloom.functions import formula as chem
+from annoloom import workflows
 from annoloom.functions import response, text
+from annoloom.functions import vector as measures
 from annoloom.operators import catalogue, context, evaluate, index, match, vector, workflow
 from annoloom.options import LinkOptions
+from annoloom.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -615,6 +618,183 @@ def prompt_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("model"), prompt.alias("prompt"))
 
 
+# ---------------------------------------------------------------- models and workflows
+
+
+@query("SELECT p_partkey, array_to_string(list_sort(list_distinct([CAST(p_partkey AS VARCHAR), CAST(p_size AS VARCHAR)])), ' ') AS chemical, CAST(p_partkey + 1 AS VARCHAR) AS gene FROM part")
+def uri_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    said = F.concat(F.lit('<a r="http://identifiers.org/chebi/CHEBI:'), key, F.lit('"/> urn:miriam:chebi:CHEBI:'), size, F.lit(" urn:miriam:chebi:"), size, F.lit(" https://identifiers.org/ncbigene/"), (F.col("p_partkey") + 1).cast("string"))
+    found = lambda patterns: F.array_join(text.extract_all(said, patterns), " ")
+    return _read(spark, sf_dir, "part").select("p_partkey", found(text.CHEBI_URI_PATTERNS).alias("chemical"), found(text.NCBIGENE_URI_PATTERNS).alias("gene"))
+
+
+@query("SELECT DISTINCT l_orderkey, 'P' || l_partkey || ' => S' || l_suppkey || 'x' AS reaction FROM lineitem WHERE l_partkey % 10 = l_orderkey % 10")
+def whole_word_reactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _read(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey")
+    part, supplier = F.concat(F.lit("P"), F.col("l_partkey").cast("string")), F.concat(F.lit("S"), F.col("l_suppkey").cast("string"))
+    rows = lines.select("l_orderkey", F.concat(part, F.lit(" => "), supplier, F.lit("x")).alias("reaction"))
+    targets = lines.select("l_orderkey", F.explode(F.array(F.when(F.col("l_partkey") % 10 == F.col("l_orderkey") % 10, part), supplier)).alias("entity_id")).filter("entity_id IS NOT NULL")
+    return context.touching(rows, targets, "l_orderkey")
+
+
+@query("SELECT s_suppkey AS entity_id, CASE WHEN s_suppkey % 3 = 0 THEN s_name ELSE CAST(s_suppkey AS VARCHAR) END AS names FROM supplier")
+def default_synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("entity_id"), "s_suppkey", "s_name")
+    known = rows.filter("s_suppkey % 3 = 0").select("entity_id", F.array("s_name").alias("synonyms"))
+    found = match.with_default_synonym(rows.select("entity_id"), known)
+    return found.select(F.col("entity_id").cast("long").alias("entity_id"), F.array_join("synonyms", "|").alias("names"))
+
+
+@query("SELECT p_brand AS tax_id, CAST(p_partkey AS VARCHAR) AS db_id, p_name AS symbol FROM part WHERE p_brand IN (SELECT min(p_brand) FROM part UNION ALL SELECT max(p_brand) FROM part)")
+def gene_tax_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _read(spark, sf_dir, "part")
+    ends = part.agg(F.min("p_brand").alias("a"), F.max("p_brand").alias("b")).first()
+    genes = part.select(F.col("p_brand").alias("tax_id"), F.col("p_partkey").alias("GeneID"), F.col("p_name").alias("Symbol"), F.lit("-").alias("Synonyms"), F.col("p_type").alias("type_of_gene"))
+    return index.clean_gene_info(genes, tax_ids=(ends["a"], ends["b"])).select("tax_id", "db_id", "symbol")
+
+
+@query("SELECT 'O' || o_orderkey || '.xml' AS model, 'C' || o_custkey AS entity_id, o_orderstatus || '|it''s ' || o_orderpriority AS names, 'as said: ' || o_orderstatus AS reason FROM orders")
+def saved_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _read(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    content = F.format_string(
+        "Model: O%s\nLLM: m\nTimestamp: 2025-01-02 03:04:05\n\nSynonyms:\nC%s: ['%s', \"it's %s\"]\n\nReason: as said: %s\n", F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), "o_orderstatus", "o_orderpriority", "o_orderstatus"
+    )
+    rows = orders.select(F.concat(F.lit("O"), F.col("o_orderkey").cast("string"), F.lit(".xml")).alias("model"), response.saved_body(content).alias("raw_response"))
+    return response.parse_responses(rows).select("model", "entity_id", F.array_join("synonyms", "|").alias("names"), "reason")
+
+
+@query(
+    f"SELECT event_type, CASE WHEN event_type = 'click' THEN {'$$' + context.SYSTEM_PROMPTS['gene'] + '$$'} ELSE {'$$' + context.SYSTEM_PROMPTS['chemical'] + '$$'} END AS prompt, count(*) AS n FROM events GROUP BY event_type"
+)
+def system_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("event_type") == "click", "gene").when(F.col("event_type") == "view", "chemical").otherwise(F.col("event_type"))
+    counted = _read(spark, sf_dir, "events", "event_type").groupBy("event_type").agg(F.count("*").alias("n"))
+    return counted.select("event_type", context.system_prompt(kind).alias("prompt"), "n")
+
+
+@query("""
+SELECT n_nationkey, 'Model: ' || r_name || chr(10) || 'Entities: ' || n_name || ', N' || n_nationkey || chr(10) || what || ':' || chr(10) || n_name || ' = ' || r_name || chr(10) || 'Notes: ' || lower(r_name) AS prompt
+FROM nation JOIN region ON n_regionkey = r_regionkey, (VALUES ('Reactions'), ('Transitions')) v(what)""")
+def gene_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = _read(spark, sf_dir, "nation").join(_read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    names = F.array(F.col("n_name"), F.concat(F.lit("N"), F.col("n_nationkey").cast("string")))
+    facts = F.array(F.concat("n_name", F.lit(" = "), "r_name"))
+    made = [context.user_prompt(F.col("r_name"), names, facts, F.lower("r_name"), kind) for kind in ("gene", "qual_gene")]
+    return both.select("n_nationkey", F.explode(F.array(*made)).alias("prompt"))
+
+
+@query("""
+SELECT DISTINCT l_orderkey, 'S' || l_suppkey AS target, 'P' || l_partkey || ' & !S' || (l_suppkey + 1) AS rule
+FROM lineitem l WHERE EXISTS (SELECT 1 FROM lineitem t WHERE t.l_orderkey = l.l_orderkey AND t.l_linenumber = 1 AND (t.l_suppkey = l.l_suppkey OR contains('P' || l.l_partkey || ' & !S' || (l.l_suppkey + 1), 'S' || t.l_suppkey)))""")
+def model_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    supplier = lambda x: F.concat(F.lit("S"), x.cast("string"))
+    line = F.concat(supplier(F.col("l_suppkey")), F.lit(", P"), F.col("l_partkey").cast("string"), F.lit(" & !"), supplier(F.col("l_suppkey") + 1))
+    targets = lines.filter("l_linenumber = 1").select("l_orderkey", supplier(F.col("l_suppkey")).alias("entity_id"))
+    return context.transitions(lines.select("l_orderkey", line.alias("line")), targets, model="l_orderkey").select("l_orderkey", "target", "rule").distinct()
+
+
+@query("""
+SELECT a.vec_id, round(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) ** 2, 4) AS l2sq, round(1 - list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4) AS cosine
+FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
+def vector_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    both = rows.join(rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other")), "vec_id")
+    return both.select("vec_id", *[F.round(measures.distance(F.col("embedding"), F.col("other"), m), 4).alias(m) for m in ("l2sq", "cosine")])
+
+
+def order_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, content): each order as a model document, its lines as species, with one reaction a line."""
+    lines = _read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").join(_read(spark, sf_dir, "part", "p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+    key = F.col("l_partkey").cast("string")
+    note = F.when(F.col("l_partkey") % 2 == 0, F.concat(F.lit('<annotation><x r="http://identifiers.org/chebi/CHEBI:'), key, F.lit('"/></annotation>'))).otherwise("")
+    species = F.concat(F.lit('" name="'), F.col("p_name"), F.lit(" &amp; "), key, F.lit('">'), note, F.lit("</species>"))
+    listed = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", species.alias("s")))).alias("x"))
+    numbered = F.transform("x", lambda e, i: F.concat(F.lit('<species id="s'), i.cast("string"), e["s"]))
+    reaction = F.transform("x", lambda _, i: F.concat(F.lit('<reaction id="r'), i.cast("string"), F.lit('" reversible="false"><listOfReactants><speciesReference species="s'), i.cast("string"), F.lit('"/></listOfReactants></reaction>')))
+    body = F.concat(
+        F.lit('<sbml xmlns="s"><model id="O'), F.col("l_orderkey").cast("string"), F.lit('"><!-- <species id="no"/> --><listOfSpecies>'), F.array_join(numbered, ""), F.lit("</listOfSpecies><listOfReactions>"),
+        F.array_join(reaction, ""), F.lit("</listOfReactions></model></sbml>"),
+    )
+    content = F.when(F.col("l_orderkey") % 7 == 0, F.left(body, F.lit(60))).otherwise(body)
+    return listed.select(F.concat(F.lit("file:/x/O"), F.col("l_orderkey").cast("string"), F.lit(".xml")).alias("file"), content.alias("content"))
+
+
+#: The lines with their place in the order's document.
+_PLACED = "p AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS place FROM lineitem JOIN part ON l_partkey = p_partkey)"
+_ORDERS = "o AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey)"
+
+
+@query(f"""
+WITH {_ORDERS}
+SELECT 'file:/x/O' || l_orderkey || '.xml' AS file, CASE WHEN l_orderkey % 7 = 0 THEN 'malformed' ELSE 'ok' END AS parse_status, CASE WHEN l_orderkey % 7 = 0 THEN '' ELSE 'O' || l_orderkey END AS model,
+  CASE WHEN l_orderkey % 7 = 0 THEN 0 ELSE n END AS num_species, CASE WHEN l_orderkey % 7 = 0 THEN 0 ELSE n END AS num_reactions, 'plain' AS format FROM o""")
+def model_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    models = readers.parse_models(order_models(spark, sf_dir))
+    return models.select("file", "parse_status", "model", F.col("num_species").cast("long").alias("num_species"), F.col("num_reactions").cast("long").alias("num_reactions"), "format")
+
+
+@query(f"""
+WITH {_PLACED}
+SELECT 'file:/x/O' || l_orderkey || '.xml' AS file, 's' || place AS entity_id, p_name || ' & ' || p_partkey AS display_name, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_partkey AS VARCHAR) ELSE '' END AS existing
+FROM p WHERE l_orderkey % 7 <> 0""")
+def model_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = readers.entities(readers.parse_models(order_models(spark, sf_dir)), "chemical")
+    known = readers.existing_annotations(rows).groupBy("file", "entity_id").agg(F.array_join(F.array_sort(F.collect_list("db_id")), " ").alias("existing"))
+    found = rows.join(known, ["file", "entity_id"], "left")
+    return found.select("file", "entity_id", "display_name", F.coalesce("existing", F.lit("")).alias("existing"))
+
+
+def _order_workflow(spark: SparkSession, sf_dir: str, curate: bool) -> workflows.Linked:
+    """Lines in odd places are answered with their part's name and one that nothing has; the index has all parts by
+    name, under each even one's name also another id."""
+    part = _read(spark, sf_dir, "part", "p_partkey", "p_name")
+    name = lambda k: F.concat(F.col("p_name"), F.lit(" "), k.cast("string"))
+    key = F.col("p_partkey")
+    names = part.select(name(key).alias("name"), key.cast("string").alias("db_id"), F.lit(0).alias("id_pos"), key.alias("name_ord"))
+    others = part.filter("p_partkey % 2 = 0").select(name(key).alias("name"), (key + 1_000_000).cast("string").alias("db_id"), F.lit(1).alias("id_pos"), key.alias("name_ord"))
+    reference = workflows.Reference(names.unionByName(others), part.select(key.cast("string").alias("db_id"), F.col("p_name").alias("label")))
+    lines = _read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").join(part, F.col("l_partkey") == key)
+    listed = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", name(key).alias("name")))).alias("x"))
+    said = F.transform("x", lambda e, i: F.when(i % 2 == 1, F.concat(F.lit("s"), i.cast("string"), F.lit(': "'), e["name"], F.lit('", "none of them"'))))
+    saved = listed.withColumn("raw_response", F.array_join(said, "\n"))
+    saved = saved.select(F.concat(F.lit("file:/x/O"), F.col("l_orderkey").cast("string"), F.lit(".xml")).alias("model"), "raw_response")
+    run = workflows.curate if curate else workflows.annotate
+    return run(order_models(spark, sf_dir), None, {"chebi": reference}, saved=saved)
+
+
+_LINKED = f"""{_PLACED}, l AS (
+  SELECT 'O' || l_orderkey || '.xml' AS file, 's' || place AS id, l_orderkey, place, p_partkey, p_name, p_partkey % 2 = 0 AS known FROM p WHERE l_orderkey % 7 <> 0
+), told AS (SELECT DISTINCT l_orderkey FROM p WHERE place = 1), rec AS (
+  SELECT l.*, c.pos, CASE WHEN c.pos = 0 THEN p_partkey ELSE p_partkey + 1000000 END AS db_id FROM l SEMI JOIN told ON l.l_orderkey = told.l_orderkey
+  LEFT JOIN (VALUES (0), (1)) c(pos) ON place % 2 = 1 AND (c.pos = 0 OR p_partkey % 2 = 0)
+)"""
+
+
+@query(f"""
+WITH {_LINKED}
+SELECT file, id, p_name || ' & ' || p_partkey AS display_name, CASE WHEN pos IS NULL THEN '' ELSE 'CHEBI:' || db_id END AS annotation,
+  CASE WHEN pos IS NULL THEN '' WHEN pos = 0 THEN p_name ELSE CAST(db_id AS VARCHAR) END AS annotation_label, CASE WHEN pos IS NULL THEN 0.0 ELSE 0.5 END AS match_score,
+  CASE WHEN pos = 0 AND known THEN 1 ELSE 0 END AS existing, CASE WHEN pos = 0 AND known THEN 'keep' ELSE 'ignore' END AS update_annotation FROM rec""")
+def annotate_workflow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _order_workflow(spark, sf_dir, False).table.drop("type")
+
+
+@query(f"""
+WITH {_LINKED}, f AS (
+  SELECT file, count(DISTINCT id) FILTER (WHERE pos IS NOT NULL AND known) AS predicted, count(*) FILTER (WHERE pos IS NOT NULL AND known) AS total, count(*) FILTER (WHERE pos = 0 AND known) AS hits FROM rec GROUP BY file
+), m AS (
+  SELECT 'O' || l_orderkey || '.xml' AS file, l_orderkey, count(*) FILTER (WHERE l_partkey % 2 = 0) AS n, count(*) > 1 AS said FROM lineitem GROUP BY l_orderkey
+)
+SELECT m.file, CASE WHEN l_orderkey % 7 = 0 THEN 'malformed' WHEN n = 0 THEN 'no entities' WHEN NOT said THEN 'no answer' ELSE 'ok' END AS status, CASE WHEN l_orderkey % 7 = 0 THEN 0 ELSE n END AS total_entities,
+  coalesce(predicted, 0) AS entities_with_predictions, coalesce(total, 0) AS total_predictions, coalesce(hits, 0) AS matches, CASE WHEN l_orderkey % 7 <> 0 AND n > 0 THEN coalesce(predicted, 0) / n ELSE 0.0 END AS annotation_rate,
+  CASE WHEN predicted > 0 THEN hits / predicted END AS accuracy
+FROM m LEFT JOIN f ON m.file = f.file""")
+def curate_workflow_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _order_workflow(spark, sf_dir, True).metrics
+
+
 # ---------------------------------------------------------------- flagship
 
 

@@ -21,6 +21,14 @@ def write_name_index(index: DataFrame, path: str) -> None:
     index.repartition("tax_id").sortWithinPartitions("name").write.mode("overwrite").partitionBy("tax_id").parquet(path)
 
 
+def write_labels(labels: DataFrame, path: str) -> None:
+    labels.select("db_id", "label").write.mode("overwrite").parquet(path)
+
+
+def write_formulas(formulas: DataFrame, path: str) -> None:
+    formulas.select("db_id", "formula").write.mode("overwrite").parquet(path)
+
+
 def response_text(rows: DataFrame) -> DataFrame:
     """(model, llm, value): saved form of parsed answers (model, llm, saved_at, entity_id, synonyms, reason)."""
     line = F.format_string("%s: [%s]", F.col("entity_id"), F.array_join(F.transform("synonyms", lambda s: F.concat(F.lit("'"), s, F.lit("'"))), ", "))
@@ -37,7 +45,7 @@ def write_responses(rows: DataFrame, path: str) -> None:
 
 
 def write_dead_letters(parsed: DataFrame, path: str) -> None:
-    """Rows whose status is not ok."""
+    """Rows (of ``parse_models``, say) whose status is not ok."""
     parsed.filter("parse_status <> 'ok'").write.mode("overwrite").json(path)
 
 

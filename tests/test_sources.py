@@ -11,8 +11,8 @@ from annoloom.operators import catalogue, context, index, match, providers, work
 from annoloom.sources import readers, writers
 from annoloom.streaming.replay import replay_stream
 
-FBC = '<sbml xmlns:fbc="f"><model id="m"><species id="s1" name="Glc"/><fbc:geneProduct fbc:id="g1" fbc:name="" fbc:label="b1">urn:miriam:ncbigene:12 http://identifiers.org/ncbigene/12</fbc:geneProduct></model></sbml>'
-PLAIN = '<sbml><model><species id="s1" name="glucose"><a r="http://identifiers.org/chebi/CHEBI:17"/></species><species id="s2"/></model></sbml>'
+FBC = '<sbml xmlns:fbc="f"><model id="m"><listOfSpecies><species id="s1" name="Glc"/></listOfSpecies><fbc:listOfGeneProducts><fbc:geneProduct fbc:id="g1" fbc:name="" fbc:label="b1"><annotation>urn:miriam:ncbigene:12 http://identifiers.org/ncbigene/12</annotation></fbc:geneProduct></fbc:listOfGeneProducts></model></sbml>'
+PLAIN = '<sbml><model><species id="s1" name="glucose"><annotation><a r="http://identifiers.org/chebi/CHEBI:17"/></annotation></species><species id="s2"/></model></sbml>'
 SAVED = "Model: A.xml\nLLM: m\nTimestamp: 2025-01-02 03:04:05\n\nSynonyms:\ns1: ['a', \"b's, c\"]\ns2: ['UNK']\n\nReason: first\nReason: x: y"
 
 
@@ -20,13 +20,14 @@ def test_model_documents(spark, tmp_path):
     for name, body in (("a.xml", FBC), ("b.xml", PLAIN), ("c.xml", "not xml")):
         (tmp_path / name).write_text(body)
     docs = readers.read_documents(spark, str(tmp_path))
-    got = {(text_[-5:], r["format"], r["entity_type"], r["entity_id"]) for r in readers.entities(docs.filter("content like '<%'")).collect() for text_ in [r["file"]]}
-    assert got == {("a.xml", "fbc", "fbc", "g1"), ("a.xml", "fbc", "plain", "s1"), ("b.xml", "plain", "plain", "s1"), ("b.xml", "plain", "plain", "s2")}
-    blocks = readers.annotation_blocks(docs, "species").select("entity_id", text.extract_all(F.col("annotation"), text.CHEBI_URI_PATTERNS).alias("ids"))
-    assert {(r["entity_id"], tuple(r["ids"])) for r in blocks.collect()} == {("s1", ("17",)), ("s1", ()), ("s2", ())}
-    genes = readers.annotation_blocks(docs, "geneProduct").select(text.extract_all(F.col("annotation"), text.NCBIGENE_URI_PATTERNS).alias("ids"))
-    assert [r["ids"] for r in genes.collect()] == [["12"]]
+    rows = readers.entities(readers.parse_models(docs))
+    got = {(r["file"][-5:], r["format"], r["entity_type"], r["entity_id"]) for r in rows.collect()}
+    assert got == {("a.xml", "fbc", "gene", "g1"), ("a.xml", "fbc", "chemical", "s1"), ("b.xml", "plain", "chemical", "s1"), ("b.xml", "plain", "chemical", "s2")}
+    assert {(r["file"][-5:], r["entity_id"], r["db_id"]) for r in readers.existing_annotations(rows).collect()} == {("a.xml", "g1", "12"), ("b.xml", "s1", "17")}
     assert [r["file"][-5:] for r in readers.read_documents(spark, str(tmp_path), 2, 1).collect()] == ["b.xml"]
+    bad = readers.parse_models(docs)
+    writers.write_dead_letters(bad, str(tmp_path / "dead"))
+    assert [r["file"][-5:] for r in spark.read.json(str(tmp_path / "dead")).collect()] == ["c.xml"]
 
 
 def test_ontology_and_genes(spark, tmp_path):
@@ -44,6 +45,12 @@ def test_ontology_and_genes(spark, tmp_path):
     rows = genes.select("tax_id", "db_id", F.explode("names").alias("name"), F.lit(0).alias("ord"))
     built = index.exploded_index(rows, ("tax_id",)).withColumn("name_ord", F.lit(0).cast("long"))
     writers.write_name_index(built, str(tmp_path / "index"))
+    assert {(r["db_id"], tuple(r["names"])) for r in readers.read_id_names(spark, str(tmp_path / "index"), "9606").collect()} == {("1", ("a1", "x"))}
+    labels = spark.createDataFrame([("1", "A1")], schemas.LABELS)
+    writers.write_labels(labels, str(tmp_path / "labels"))
+    writers.write_formulas(labels.withColumnRenamed("label", "formula"), str(tmp_path / "formulas"))
+    assert readers.read_labels(spark, str(tmp_path / "labels")).collect() == labels.collect()
+    assert readers.read_formulas(spark, str(tmp_path / "formulas")).first()["formula"] == "A1"
     pruned = readers.read_name_index(spark, str(tmp_path / "index"), "9606")
     assert {r["name"] for r in pruned.collect()} == {"a1", "x"}
     assert "PartitionFilters: [isnotnull(tax_id" in pruned._jdf.queryExecution().toString()
