@@ -113,6 +113,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_LENGTH = 0xD6E8FEB86659FD93
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -136,13 +137,48 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def polynomial(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of a polynomial modulo 2**64 with these coefficients, and the inverse powers: the hash of
+    values[i:j] is (sums[j] - sums[i]) * inverse[i]."""
+    n = len(values)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(values * _power(_BASE, n, "base"), out=sums[1:])
+    return sums, _power(_INVERSE, n + 1, "inverse")
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of data[starts[i]:ends[i]], by prefix sums of a polynomial modulo 2**64."""
+    """A 64-bit hash of data[starts[i]:ends[i]], spans in page order, by prefix sums of a polynomial modulo 2**64.
+    A long text is taken in parts, for the sums take many bytes for each of its own."""
+    if len(data) <= SLICE_BYTES:
+        return _span_hashes(data, starts, ends)
+    out, at = np.empty(len(starts), np.uint64), 0
+    while at < len(starts):
+        begin = starts[at]
+        if ends[at] - begin > SLICE_BYTES:
+            out[at] = _long_hash(data[begin : ends[at]])
+            at += 1
+            continue
+        to = int(np.searchsorted(ends, begin + SLICE_BYTES, side="right"))
+        out[at:to] = _span_hashes(data[begin : ends[to - 1]], starts[at:to] - begin, ends[at:to] - begin)
+        at = to
+    return out
+
+
+def _long_hash(data: np.ndarray) -> np.uint64:
+    """The same hash of one long span, block by block."""
+    total = len(data) * _LENGTH
+    for at in range(0, len(data), SLICE_BYTES):
+        part = data[at : at + SLICE_BYTES].astype(np.uint64) + np.uint64(1)
+        total += int((part * _power(_BASE, len(part), "base")).sum(dtype=np.uint64)) * pow(_BASE, at, 1 << 64)
+    return mix64(np.array([total % (1 << 64)], np.uint64))[0]
+
+
+def _span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     n = len(data)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, n, "base"), out=sums[1:])
     value = (sums[ends] - sums[starts]) * _power(_INVERSE, n + 1, "inverse")[starts]
-    return mix64(value + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return mix64(value + (ends - starts).astype(np.uint64) * np.uint64(_LENGTH))
 
 
 #: Word separators: space and U+0009 to U+000D.

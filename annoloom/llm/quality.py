@@ -2,7 +2,8 @@
 
 The suffix array of a text's words is built by prefix doubling, for many texts at once: the text is part
 of the first key, so suffixes of different texts never tie. The longest common prefixes of neighbours
-come from the doubling's own rank tables. Each prefix of ``min_repeat`` or more words marks a maximal
+come from one table of prefix sums of a polynomial over the words' hashes, so that no earlier ranks are
+kept: the memory for a text grows with its words alone. Each prefix of ``min_repeat`` or more words marks a maximal
 repeat; the union of their spans gives the covered share of the words, the largest prefix the longest
 repeat. A text fails the method if either exceeds its limit.
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annoloom.llm.common import map_arrow, mix64, span_hashes, text_bytes, text_slices, window_hashes, words_of
+from annoloom.llm.common import map_arrow, mix64, polynomial, span_hashes, text_bytes, text_slices, window_hashes, words_of
 
 #: Fixed limits of the base rule: words a text needs, words of a window, and percent of repeated words.
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 10, 5, 20
@@ -36,8 +37,7 @@ _IS_SYMBOL[list(SYMBOLS)] = True
 
 
 def _sums(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
-    return total[bounds[1:]] - total[bounds[:-1]]
+    return np.array([np.count_nonzero(flags[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)], np.int64)
 
 
 def _dup_lines(data: np.ndarray, bounds: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -78,36 +78,49 @@ def _repeat_words(words: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     return np.bincount(row[np.cumsum(change[:-1]) > 0], minlength=rows)
 
 
+def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Positions in the order of their keys, each position's rank, and the number of different keys."""
+    array = np.argsort(key, kind="stable").astype(np.int32)
+    ordered = key[array]
+    fresh = np.zeros(len(key), np.int32)
+    fresh[1:] = ordered[1:] != ordered[:-1]
+    np.cumsum(fresh, out=fresh)
+    rank = np.empty(len(key), np.int32)
+    rank[array] = fresh
+    return array, rank, int(fresh[-1]) + 1
+
+
 def suffix_repeats(words: np.ndarray, row: np.ndarray, first: np.ndarray, min_repeat: int) -> tuple[np.ndarray, np.ndarray]:
     """For each row the words that repeats of ``min_repeat`` or more words cover, and the longest repeat."""
     rows, n = len(first) - 1, len(words)
     if n < 2:
         return np.zeros(rows, np.int64), np.zeros(rows, np.int64)
-    last = first[1:][row]
-    rank = np.unique(mix64(words ^ mix64(row.astype(np.uint64) + np.uint64(1))), return_inverse=True)[1].astype(np.int64)
-    levels, step, here = [rank], 1, np.arange(n)
+    last = first[1:][row].astype(np.int32)
+    key = mix64(words ^ mix64(row.astype(np.uint64) + np.uint64(1)))
+    step = 1
     while True:
-        there = here + step
-        second = np.where(there < last, rank[np.minimum(there, n - 1)] + 1, 0)
+        array, rank, kinds = _ranked(key)
+        if kinds == n or step >= n:
+            break
+        key = rank.astype(np.int64)
+        key *= n + 1
         # a suffix that ends inside the window is unlike any other
-        key = rank * (n + 1) + second
-        ordered, rank = np.unique(key, return_inverse=True)
-        rank = rank.astype(np.int64)
+        inside = np.flatnonzero(np.arange(step, n + step, dtype=np.int32) < last)
+        key[inside] += rank[inside + step] + 1
         step *= 2
-        levels.append(rank)
-        if len(ordered) == n or step >= n:
-            break
-    array = np.argsort(rank, kind="stable")
+    del key, rank
     a, b = array[:-1], array[1:]
     kept = row[a] == row[b]
     a, b = a[kept], b[kept]
-    common = np.zeros(len(a), np.int64)
-    for k in range(len(levels) - 1, -1, -1):
-        size = 1 << k
-        i, j = a + common, b + common
-        fits = (i + size <= last[a]) & (j + size <= last[b])
-        same = fits & (levels[k][np.minimum(i, n - 1)] == levels[k][np.minimum(j, n - 1)])
-        common += np.where(same, size, 0)
+    sums, inverse = polynomial(words)
+    common = np.zeros(len(a), np.int32)
+    size = 1 << max(0, int(np.diff(first).max()).bit_length() - 1)
+    while size:
+        at = np.flatnonzero((a + common + size <= last[a]) & (b + common + size <= last[b]))
+        i, j = a[at] + common[at], b[at] + common[at]
+        same = (sums[i + size] - sums[i]) * inverse[i] == (sums[j + size] - sums[j]) * inverse[j]
+        common[at[same]] += size
+        size >>= 1
     length = np.zeros(n, np.int64)
     np.maximum.at(length, a, common)
     np.maximum.at(length, b, common)

@@ -162,3 +162,16 @@ def test_long_repeats_reject_texts_that_the_base_rule_passes(spark):
     assert [(got[i]["covered_words"], got[i]["longest_repeat"]) for i in range(1, 7)] == [(20, 10), (350, 175), (102, 51), (100, 50), (30, 15), (0, 7)]
     assert not any(r["base_failed"] for r in got.values())
     assert {i for i, r in got.items() if not r["kept"]} == {1, 2, 3}
+
+
+def test_memory_of_very_long_texts():
+    import tracemalloc
+
+    rng = random.Random(6)
+    text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(400_000))
+    column = pa.array([text + " " + text[: 300_000]])
+    tracemalloc.start()
+    got = quality.measure(column, 8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got["longest_repeat"][0] > 35_000 and peak < 22 * len(text)
