@@ -1,9 +1,10 @@
 """Personal data: patterns propose spans, checksums confirm them, context words adjust the score.
 
 Base kinds are email, ip (parts up to 255), card (14 to 19 digits that pass Luhn) and phone (10 to 15
-digits after a plus). The method adds ``iban`` (mod 97), ``id`` (nine digits in 3-2-4 groups) and
-``local_phone`` (national notation). Every proposal has a prior score; a validator raises it or drops the
-proposal; a context word of its kind within 40 characters before it raises it further. An added span is
+digits after a plus). The method adds ``iban`` (mod 97), ``id`` (nine digits in 3-2-4 groups; no group of
+zeros, first group not 666 or from 900 on) and ``local_phone`` (national notation; ten or eleven digits, not all
+alike, area and exchange as numbering plans have them). Every proposal has a prior score; a validator drops
+those that fail; a context word of its kind within 40 characters before or after it raises the score. An added span is
 kept at a score of 0.6 or more and if no other span touches it. Base spans stay whatever their score.
 
 Defined cases: a null or empty text has no spans; texts are scanned whole; only ``doc_id`` and ``text``
@@ -61,8 +62,25 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
 
 
-def _score(text: str, kind: str, start: int) -> float:
-    near = re.findall(r"[a-z]+", text[max(0, start - CONTEXT_CHARS) : start].lower())
+def issued_id(number: str) -> bool:
+    """Whether a number in 3-2-4 groups can have been issued."""
+    area, group, serial = number.split("-")
+    return area not in ("000", "666") and area < "900" and group != "00" and serial != "0000"
+
+
+def national_number(number: str) -> bool:
+    """Whether a number can be one in national notation: with a trunk 0, ten or eleven digits, the second not
+    0; without, ten digits whose area and exchange begin with 2 to 9."""
+    digits = re.sub("[^0-9]", "", number)
+    if len(set(digits)) == 1:
+        return False
+    if digits[0] == "0":
+        return len(digits) in (10, 11) and digits[1] != "0"
+    return len(digits) == 10 and digits[0] >= "2" and digits[3] >= "2"
+
+
+def _score(text: str, kind: str, start: int, end: int) -> float:
+    near = re.findall(r"[a-z]+", f"{text[max(0, start - CONTEXT_CHARS) : start]} {text[end : end + CONTEXT_CHARS]}".lower())
     return min(1.0, PRIOR[kind] + BOOST * any(w in near for w in CONTEXT[kind]))
 
 
@@ -101,13 +119,13 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def scan(text: str) -> list[tuple]:
     """All spans of one text, by start, then kind."""
-    found = [(k, a, b, _score(text, k, a), True) for k, a, b in base_spans(text)]
-    for kind, pattern, valid in (("iban", IBAN, mod97), ("id", ID, None), ("local_phone", LOCAL_PHONE, None)):
+    found = [(k, a, b, _score(text, k, a, b), True) for k, a, b in base_spans(text)]
+    for kind, pattern, valid in (("iban", IBAN, mod97), ("id", ID, issued_id), ("local_phone", LOCAL_PHONE, national_number)):
         earlier = S.Cover(found)
         for m in pattern.finditer(text):
-            if (valid and not valid(m[0])) or earlier.touches(m.start(), m.end()):
+            if not valid(m[0]) or earlier.touches(m.start(), m.end()):
                 continue
-            score = _score(text, kind, m.start())
+            score = _score(text, kind, m.start(), m.end())
             if score >= THRESHOLD:
                 found.append((kind, m.start(), m.end(), score, False))
     return S.in_order(found, KINDS)
