@@ -36,6 +36,8 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
 #: Lengths from which thresholds are set apart, for scores of short tokens scatter more, and the samples of
 #: each label that one needs of its own.
 LENGTHS, LEAST_SAMPLES = (12, 14, 16, 20, 28, 40), 50
+#: How often the label-0 samples are cleared of what the models find in them.
+ROUNDS = 2
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 _CODE = np.full(128, len(ALPHABET), np.int64)
 _CODE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
@@ -63,12 +65,23 @@ class MarkovPair:
 
 
 def train(samples: Iterable[tuple[str, int]], smoothing: float = 0.5, corpus: np.ndarray | None = None) -> MarkovPair:
-    """Fit both models on (string, label) samples. The threshold lies midway between the lowest
+    """Fit both models on (string, label) samples, twice: of the ordinary samples, those that the first models place
+    above the middle of the random ones are taken for secrets in the sampled texts and left out of the second.
+    The threshold lies midway between the lowest
     score of nearly all random samples (2nd percentile) and the highest of nearly all ordinary ones (99.9th), but
     never under the latter; so does that of each class of lengths with enough samples. ``corpus`` (``letter_pairs``) joins
     the ordinary model with the weight that the pairs of the ordinary samples have together, a fifth of it
     in capitals."""
     samples = list(samples)
+    first = _fit(samples, smoothing, corpus)
+    strange = [first.score(t) for t, y in samples if y == 1]
+    if strange:
+        middle = float(np.median(strange))
+        samples = [(t, y) for t, y in samples if y == 1 or len(t) < LENGTHS[0] or first.score(t) <= middle]
+    return _fit(samples, smoothing, corpus)
+
+
+def _fit(samples: list[tuple[str, int]], smoothing: float, corpus: np.ndarray | None) -> MarkovPair:
     size = len(ALPHABET) + 1
     counts = np.full((2, size, size), smoothing)
     for token, label in samples:
@@ -127,14 +140,25 @@ def letter_pairs(docs: DataFrame) -> np.ndarray:
 
 def labelled_samples(docs: DataFrame, max_docs: int = 400, max_chars: int = 20_000, random_strings: int = 4000, seed: int = 7) -> list[tuple[str, int]]:
     """Label 1: strings drawn uniformly from the alphabets of common encodings, those of letters alone among
-    them. Label 0: words of up to ``max_docs`` documents of at most ``max_chars`` characters (chosen by a
-    hash of doc_id), alone and joined as identifiers are, also in capitals, numbers, and lines of one symbol. These two bounds limit the fit alone, never the scan."""
+    them. Label 0: words outside found secrets of up to ``max_docs`` documents of at most ``max_chars`` characters
+    (chosen by a hash of doc_id), alone and joined as identifiers are, also in capitals, numbers, and lines of one symbol. These two bounds limit the fit alone, never the scan."""
     some = docs.filter(F.length("text").between(1, max_chars)).select("doc_id", "text")
     # ids first: tasks send no texts but those of the ids chosen
     ids = some.select("doc_id", F.xxhash64("doc_id").alias("h")).distinct().orderBy("h", "doc_id").limit(max_docs)
     ids = materialise(ids, "sample")
     rows = some.join(F.broadcast(ids), "doc_id").orderBy("h", "doc_id", "text").limit(max_docs).select("text").collect()
-    words = sorted({w for r in rows for w in re.findall(r"[A-Za-z]{3,}", r["text"])})
+    texts = [without(r["text"], base_spans(r["text"])) for r in rows]
+    samples = _samples_of(texts, random_strings, seed)
+    for _ in range(ROUNDS):
+        # what the models find in the sampled texts is not ordinary
+        model = train(samples)
+        texts = [without(t, scan(t, model)) for t in texts]
+        samples = _samples_of(texts, random_strings, seed)
+    return samples
+
+
+def _samples_of(texts: list[str], random_strings: int, seed: int) -> list[tuple[str, int]]:
+    words = sorted({w for t in texts for w in re.findall(r"[A-Za-z]{3,}", t)})
     rng = random.Random(seed)
     samples = [(w, 0) for w in sorted({*words, *(w.upper() for w in words)})]
     if words:
@@ -165,6 +189,13 @@ def base_spans(text: str) -> list[tuple]:
     return found
 
 
+def without(text: str, spans: list[tuple]) -> str:
+    """The text with spaces in place of spans."""
+    for _, start, end, *_ in spans:
+        text = text[:start] + " " * (end - start) + text[end:]
+    return text
+
+
 def scan(text: str, model: MarkovPair) -> list[tuple]:
     """All spans of one text, by start, then kind."""
     found = base_spans(text)
