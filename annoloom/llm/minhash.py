@@ -378,6 +378,7 @@ def _candidates(classes: DataFrame) -> DataFrame:
     buckets = materialise(buckets, "buckets")
     ids = F.array_distinct(F.array(*[f"lead{k}" for k in range(LEADERS)]))
     in_bucket = skew_safe_lookup(rows, buckets.select("key", "m"), ["key"], "m", classes.count() * BANDS).filter("m > 1")
+    in_bucket = materialise(in_bucket, "in-bucket")
     few = in_bucket.filter(F.col("m") <= BLOCK).select(F.col("key").alias("unit"), "rep", F.col("rep").alias("part"), "size", *SIGNATURE)
     forest = map_arrow(few.repartition("unit").sortWithinPartitions("unit", "rep"), _bucket_forest, EDGES_DDL)
     large = buckets.filter(F.col("m") > BLOCK)
