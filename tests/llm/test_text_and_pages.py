@@ -89,6 +89,57 @@ def test_mixture_meets_its_budgets(spark, limit, monkeypatch):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def brute_mixture(rows, got, limit):
+    """What a mixture must be, source by source, from the rows alone: whole passes, then whole blocks of one more
+    and the start of its last block; blocks stand together in slot order."""
+    length = {i: len((t or "").split()) for i, t, _ in rows}
+    tokens = {s: sum(length[i] for i, _, t in rows if t == s) for s in {r[2] for r in rows}}
+    own = {("=" + s if s is not None else ""): n for s, n in tokens.items()}
+    weights = mixing.weights_of(own, mixing.find_exponent(own, limit))
+    total = mixing.total_budget(own, weights)
+    for s, n in tokens.items():
+        budget = max(n, round(total * weights["=" + s if s is not None else ""]))
+        docs = Counter(i for i, _, t in rows if t == s)
+        mine = sorted((r for r in got if r["source"] == s), key=lambda r: r["slot"])
+        passes = budget // n if n else 1
+        for epoch in range(passes):
+            assert Counter(r["doc_id"] for r in mine if r["epoch"] == epoch) == docs
+        last = [r for r in mine if r["epoch"] == passes]
+        assert {r["epoch"] for r in mine} <= set(range(passes + 1))
+        rest = budget - passes * n if n else 0
+        read = sum(length[r["doc_id"]] for r in last)
+        assert (rest < 1 and not last) or rest <= read <= rest + max(length.values()) * max(docs.values())
+        whole = {b: Counter(r["doc_id"] for r in mine if r["epoch"] == 0 and r["block"] == b) for b in {r["block"] for r in mine}}
+        cut = [b for b in {r["block"] for r in last} if Counter(r["doc_id"] for r in last if r["block"] == b) != whole[b]]
+        assert len(cut) <= 1
+        runs = [(r["epoch"], r["block"]) for r in mine if length[r["doc_id"]]]
+        assert len([1 for a, b in zip(runs, runs[1:]) if a != b]) + 1 == len(set(runs)) or not runs
+    assert len(got) == sum(1 for r in got if any(r["doc_id"] == x[0] and r["source"] == x[2] for x in rows))
+
+
+@pytest.mark.parametrize("bound", [mixing.MAX_SOURCES, 0])
+def test_mixture_against_brute_force(spark, bound, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 60)
+    monkeypatch.setattr(mixing, "MAX_SOURCES", bound)
+    rows = [(i, "w " * (1 + i % 7), s) for s, n, o in (("big", 300, 0), ("mid", 80, 1000), ("\0", 30, 2000), (None, 20, 3000)) for i in range(o, o + n)]
+    rows += [rows[0], rows[0], rows[-1], (None, "no id", "mid"), (None, "no id", "mid"), (5001, "z " * 40_000, "long"), (5002, None, "void"), (5003, "", None)]
+    docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, source string, block string")
+    got = mixing.report(docs, 1.7).collect()
+    brute_mixture(rows, got, 1.7)
+    plans = [{(r["_source"], r["block"], r["epoch"], r["upto"]) for r in mixing.plan_mixture(docs, 1.7).collect()}]
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 100_000 - bound)
+    plans.append({(r["_source"], r["block"], r["epoch"], r["upto"]) for r in mixing.plan_mixture(docs, 1.7).collect()})
+    assert plans[0] == plans[1]
+
+
+def test_mixture_of_a_given_budget(spark):
+    sizes = {"a": 4000, "b": 1000}
+    docs = spark.createDataFrame([(i, "x", s) for s, n in sizes.items() for i in range(n)], "doc_id long, text string, source string")
+    got = mixing.mix(docs, None, 0.65, budget=1000).groupBy("source").count().collect()
+    w = mixing.weights_of(sizes, mixing.find_exponent(sizes, target_entropy=0.65))
+    assert all(abs(r["count"] - 1000 * w[r["source"]]) <= 2 for r in got) and len(got) == 2
+
+
 def test_url_rules():
     trie = url_filter.build_trie([*catalog.URL_RULES, ("block", "a.org", "/x/par"), ("allow", "a.org", "/x/"), ("block", "b.org", ""), ("allow", "b.org", "")])
     judge = lambda u: url_filter.longest_match(trie, *url_filter.split_url(u))
