@@ -30,6 +30,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,12 +91,18 @@ def _each_set(column: pa.Array) -> list[np.ndarray]:
     return [sets[a:b].copy() for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
+def set_digests(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """128-bit digests of the rows with a set."""
+    full = np.flatnonzero(np.diff(bounds) > 0)
+    size = np.diff(bounds)[full].astype(np.uint64)
+    return np.stack([mix64(np.add.reduceat(mix64(sets ^ np.uint64(k)), bounds[:-1][full]) + size) for k in (0x5BD1E995, 0x1B873593)], axis=1)
+
+
 def sketches(sets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For the rows with a set: 128-bit digests, packed low bits, and band keys."""
     full = np.flatnonzero(np.diff(bounds) > 0)
     starts = bounds[:-1][full]
-    size = np.diff(bounds)[full].astype(np.uint64)
-    digest = np.stack([mix64(np.add.reduceat(mix64(sets ^ np.uint64(k)), starts) + size) for k in (0x5BD1E995, 0x1B873593)], axis=1)
+    digest = set_digests(sets, bounds)
     minima = np.empty((len(full), HASHES), np.uint64)
     for k in range(HASHES):
         minima[:, k] = np.minimum.reduceat(sets * _MULTIPLIER[k] + _OFFSET[k], starts)
@@ -134,6 +141,21 @@ def featurise(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, FEATURES_DDL)
 
 
+def with_sets(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` with d0 and d1 of each text's set, null for empty sets."""
+
+    @F.pandas_udf("d0 long, d1 long")
+    def digests(texts: pd.Series) -> pd.DataFrame:
+        sets, bounds = shingle_sets(pa.array(texts, pa.large_string()))
+        full = np.diff(bounds) > 0
+        out = np.zeros((len(texts), 2), np.int64)
+        if full.any():
+            out[full] = set_digests(sets, bounds).view(np.int64)
+        return pd.DataFrame({c: pd.array(out[:, n], "Int64") for n, c in enumerate(("d0", "d1"))}).where(pd.Series(full), pd.NA)
+
+    return docs.withColumn("_d", digests(text)).select("*", "_d.d0", "_d.d1").drop("_d")
+
+
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Similarity from packed signatures (last axis), corrected for chance collisions of the low bits."""
     differ = a ^ b

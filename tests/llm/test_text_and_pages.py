@@ -49,6 +49,24 @@ def test_fingerprints(spark, sf, bits, monkeypatch):
     assert len({r["fingerprint"] for r in plain}) == len({canon(r["text"]) for r in edges(spark).collect()})
 
 
+@pytest.mark.parametrize("per_range", [2, 3, 1000])
+def test_next_of_rows_with_equal_ids(spark, per_range, monkeypatch):
+    """Every row has one next; the pairs make one ring in descending order of the ids."""
+    monkeypatch.setattr(fingerprint, "ROWS_PER_RANGE", per_range)
+    rows = [(None, f"null {i}") for i in range(40)] + [(7, f"t{i % 15}") for i in range(30)] + [(i, f"own {i}") for i in range(0, 40, 3)] + [(None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["text"], r["next_text"]) for r in fingerprint.with_next(docs).collect()]
+    assert Counter((i, t) for i, t, _ in got) == Counter((i, t or "") for i, t in rows)
+    assert Counter(n for _, _, n in got) == Counter(t or "" for _, t in rows)
+    ids = {t: i for i, t, _ in got}
+    low = lambda i: -(2**63) if i is None else i
+    steps = [(low(i), low(ids[n])) for i, _, n in got]
+    order = sorted({a for a, _ in steps}, reverse=True)
+    for a, b in steps:
+        assert b == a or b == order[(order.index(a) + 1) % len(order)]
+    assert Counter(a for a, b in steps if a != b) == Counter(order)
+
+
 TOKENS = {"big": 7000, "mid": 2000, "small": 1000, "none": 0}
 
 
@@ -374,6 +392,10 @@ def test_pipeline(spark, sf):
             break
         assert got.columns == list(corpus_pipeline.COLUMNS)
         docs = spark.createDataFrame(got.collect(), got.schema)
+    four = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "A b c d e f"), (None, "x y"), (None, "x y"), (3, None), (3, ""), (5, "p q"), (5, "r s"), (5, "r s")]], "doc_id long, text string, lang string, source string, n_chars long")
+    one = corpus_pipeline.STAGES[1][1](spark, four, sf)
+    assert one.columns == list(corpus_pipeline.COLUMNS)
+    assert sorted(((r["doc_id"], r["text"]) for r in one.collect()), key=str) == sorted([(1, "a b c d e f"), (None, "x y"), (3, None), (3, ""), (5, "p q"), (5, "r s")], key=str)
     odd = spark.createDataFrame([(None, None, None, None, None, 1), (1, "", None, "s", 0, 1), (1, "", None, "s", 0, 1)], "doc_id long, text string, lang string, source string, n_chars long, kept int")
     for rows in (odd, odd.limit(0)):
         for _, stage in corpus_pipeline.STAGES:
