@@ -39,12 +39,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
-    kept = minhash.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    kept = materialise(kept, "kept")
+    """The document with the smallest id of each group of near duplicates. Of rows that repeat one id with one set
+    of shingles, and of rows without an id whose group has no other, one stays; rows without words all stay."""
     docs = docs.select(*COLUMNS)
-    named = docs.join(F.broadcast(kept) if kept.count() <= minhash.BROADCAST_IDS else kept, "doc_id", "left_semi")
-    return named.unionByName(docs.filter(F.col("doc_id").isNull()))
+    found = materialise(minhash.near_duplicates(docs, sets=True), "found")
+    kept = found.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"))
+    kept = materialise(kept, "kept")
+    once = kept.filter("n = 1").select("doc_id")
+    named = docs.join(F.broadcast(once) if once.count() <= minhash.BROADCAST_IDS else once, "doc_id", "left_semi")
+    again = docs.join(kept.filter("n > 1").select("doc_id"), "doc_id", "left_semi")
+    nameless = docs.filter(F.col("doc_id").isNull())
+    if again.isEmpty() and nameless.isEmpty():
+        return named
+    again, nameless = (minhash.with_sets(rows, "text") for rows in (again, nameless))
+    alone = found.filter("kept AND doc_id IS NULL AND d0 IS NOT NULL").select("d0", "d1").distinct()
+    worded = again.filter("d0 IS NOT NULL").unionByName(nameless.join(alone, ["d0", "d1"], "left_semi").select(*again.columns))
+    one = worded.groupBy("doc_id", "d0", "d1").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    wordless = again.unionByName(nameless).filter("d0 IS NULL").select(*COLUMNS)
+    return named.unionByName(one).unionByName(wordless)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,8 +73,10 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document at least once; those of smaller sources again, up to half as often more."""
-    return mixing.mix(docs.select(*COLUMNS), max_repeats=1.5).select(*COLUMNS)
+    """Every document at least once; those of smaller sources again, up to half as often more; in the mixture's
+    order."""
+    mixed = mixing.mix(docs.select(*COLUMNS), max_repeats=1.5)
+    return mixed.repartitionByRange("slot").sortWithinPartitions("slot").select(*COLUMNS)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
