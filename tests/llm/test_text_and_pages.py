@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 from html.parser import HTMLParser
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -355,6 +356,62 @@ def test_kernel_tolerates_gaps():
     assert math.isfinite(toxicity.score_texts(["z" * 5000], model)[0])
 
 
+def brute_units(text):
+    import unicodedata as u
+
+    low = "".join(c for c in u.normalize("NFKD", text.lower()) if not 0x300 <= ord(c) <= 0x36F)
+    found = Counter(w.strip(toxicity._EDGES) for w in low.split())
+    found.pop("", None)
+    return found
+
+
+def brute_vector(piece):
+    """The kernel's features of a piece, place by place."""
+    symbol = lambda c: ord(c) - 97 if "a" <= c <= "z" else 26 + ord(c) - 48 if "0" <= c <= "9" else toxicity._GAP if ord(c) < 128 else 36 + ord(c) * 40503 % 24
+    s = [toxicity._FIRST, *map(symbol, piece), toxicity._LAST]
+    out = defaultdict(float)
+    for i in range(len(s)):
+        for j in range(i + 1, len(s)):
+            for k in range(j + 1, min(len(s), i + toxicity.SPAN)):
+                if toxicity._GAP not in (s[i], s[j], s[k]):
+                    out[s[i], s[j], s[k]] += toxicity.DECAY ** (k - i + 1)
+    norm = sum(x * x for x in out.values()) ** 0.5 or 1.0
+    return {t: x / norm for t, x in out.items()}
+
+
+def test_kernel_against_brute_force():
+    words = ["idiot", "id-iot", "banana", "aaaa", "été", "слово", "x1y2z3", "a", "--", "z" * 30, "idiot" * 9]
+    pieces = sorted({p for w in words for p in toxicity.pieces_of(w)})
+    for w in words:
+        windows = {w[i : i + toxicity.SPAN] for i in range(max(1, len(w) - toxicity.SPAN + 1))}
+        assert all(any(x in p for p in toxicity.pieces_of(w)) for x in windows)
+    column, matrix = toxicity._landmark_matrix(pieces)
+    got = toxicity._kernel(pieces, column, matrix)
+    vectors = [brute_vector(p) for p in pieces]
+    for i, a in enumerate(vectors):
+        for j, b in enumerate(vectors):
+            assert got[i, j] == pytest.approx(sum(x * b.get(t, 0.0) for t, x in a.items()), abs=1e-5)
+    for text in ("Été, IDIOT! été", "  ", "a-b (c) c"):
+        assert toxicity.tokens(text) == brute_units(text)
+
+
+def test_scores_against_brute_force(spark, sf):
+    """The collapsed machine and the worker's cache against scoring each piece of each token by itself."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.train_toxicity(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, model).collect()}
+    for r in docs.orderBy("doc_id").limit(40).collect():
+        units = toxicity.tokens(r["text"] or "")
+        if not units:
+            assert got[r["doc_id"]] == 0
+            continue
+        scores = np.array([max(sum(x * model.weight[(a << 12) | (b << 6) | c] for (a, b, c), x in brute_vector(p).items()) + model.bias for p in toxicity.pieces_of(w)) for w in units])
+        want = model.probability(toxicity.document_features(scores, np.array(list(units.values())))[None, :])[0]
+        assert got[r["doc_id"]] == pytest.approx(want, abs=1e-4)
+    again = toxicity.score_toxicity(docs.unionByName(docs), model).groupBy("doc_id").agg(F.countDistinct("score").alias("n"), F.count("*").alias("m")).collect()
+    assert all(r["n"] == 1 and r["m"] == 2 for r in again)
+
+
 def test_toxicity_edges(spark):
     docs = edges(spark).select("doc_id", "text", F.lit("s").alias("score"))
     none = spark.createDataFrame([], "doc_id long, toxic int")
