@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annoloom.functions import formula as chem
@@ -746,22 +746,33 @@ def model_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("file", "entity_id", "display_name", F.coalesce("existing", F.lit("")).alias("existing"))
 
 
+def _named_part(key: Column) -> Column:
+    return F.concat(F.col("p_name"), F.lit(" "), key.cast("string"))
+
+
+def _order_reference(spark: SparkSession, sf_dir: str) -> workflows.Reference:
+    """All parts by name, under each even one's name also another id; parts have labels and formulas."""
+    part, key = _read(spark, sf_dir, "part", "p_partkey", "p_name"), F.col("p_partkey")
+    names = part.select(_named_part(key).alias("name"), key.cast("string").alias("db_id"), F.lit(0).alias("id_pos"), key.alias("name_ord"))
+    others = part.filter("p_partkey % 2 = 0").select(_named_part(key).alias("name"), (key + 1_000_000).cast("string").alias("db_id"), F.lit(1).alias("id_pos"), key.alias("name_ord"))
+    formulas = part.select(key.cast("string").alias("db_id"), F.concat(F.lit("C"), (key % 5 + 1).cast("string")).alias("formula"))
+    return workflows.Reference(names.unionByName(others), part.select(key.cast("string").alias("db_id"), F.col("p_name").alias("label")), formulas)
+
+
+def _listed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(l_orderkey, x): the lines of each order in the places that they have in its document."""
+    lines = _read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").join(_read(spark, sf_dir, "part", "p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", _named_part(F.col("p_partkey")).alias("name"))
+    return lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("x"))
+
+
 def _order_workflow(spark: SparkSession, sf_dir: str, curate: bool) -> workflows.Linked:
-    """Lines in odd places are answered with their part's name and one that nothing has; the index has all parts by
-    name, under each even one's name also another id."""
-    part = _read(spark, sf_dir, "part", "p_partkey", "p_name")
-    name = lambda k: F.concat(F.col("p_name"), F.lit(" "), k.cast("string"))
-    key = F.col("p_partkey")
-    names = part.select(name(key).alias("name"), key.cast("string").alias("db_id"), F.lit(0).alias("id_pos"), key.alias("name_ord"))
-    others = part.filter("p_partkey % 2 = 0").select(name(key).alias("name"), (key + 1_000_000).cast("string").alias("db_id"), F.lit(1).alias("id_pos"), key.alias("name_ord"))
-    reference = workflows.Reference(names.unionByName(others), part.select(key.cast("string").alias("db_id"), F.col("p_name").alias("label")))
-    lines = _read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").join(part, F.col("l_partkey") == key)
-    listed = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", name(key).alias("name")))).alias("x"))
+    """Lines in odd places are answered with their part's name and one that nothing has."""
     said = F.transform("x", lambda e, i: F.when(i % 2 == 1, F.concat(F.lit("s"), i.cast("string"), F.lit(': "'), e["name"], F.lit('", "none of them"'))))
-    saved = listed.withColumn("raw_response", F.array_join(said, "\n"))
+    saved = _listed_orders(spark, sf_dir).withColumn("raw_response", F.array_join(said, "\n"))
     saved = saved.select(F.concat(F.lit("file:/x/O"), F.col("l_orderkey").cast("string"), F.lit(".xml")).alias("model"), "raw_response")
     run = workflows.curate if curate else workflows.annotate
-    return run(order_models(spark, sf_dir), None, {"chebi": reference}, saved=saved)
+    return run(order_models(spark, sf_dir), None, {"chebi": _order_reference(spark, sf_dir)}, saved=saved)
 
 
 _LINKED = f"""{_PLACED}, l AS (
@@ -795,6 +806,37 @@ def curate_workflow_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _order_workflow(spark, sf_dir, True).metrics
 
 
+@query(f"""
+WITH {_PLACED}, e AS (
+  SELECT 'O' || l_orderkey || '.xml' AS model, 's' || place AS species_id, place % 2 = 1 AS said, p_partkey, p_partkey % 2 = 0 AS even, p_partkey % 2 = 0 AND l_orderkey % 7 <> 0 AS known, CAST(l_orderkey AS DOUBLE) AS llm_time
+  FROM p WHERE place < 3 AND l_orderkey IN (SELECT l_orderkey FROM p WHERE place = 1)
+)
+SELECT model, species_id, CASE WHEN said THEN CAST(p_partkey AS VARCHAR) || CASE WHEN even THEN ' ' || (p_partkey + 1000000) ELSE '' END ELSE '' END AS predictions,
+  CASE WHEN said AND even THEN '0.5 0.5' WHEN said THEN '0.5' ELSE '' END AS scores, CASE WHEN known THEN CAST(p_partkey AS VARCHAR) ELSE '' END AS existing,
+  CASE WHEN said AND known THEN 1.0 ELSE 0.0 END AS recall_exact, CASE WHEN said AND known THEN 0.5 ELSE 0.0 END AS precision_exact, CASE WHEN said AND known THEN 1.0 ELSE 0.0 END AS recall_formula,
+  CASE WHEN said AND known THEN 1.0 ELSE 0.0 END AS precision_formula, CASE WHEN said AND known THEN 1 ELSE 0 END AS accuracy, llm_time
+FROM e""")
+def replay_workflow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved answers of all orders evaluated anew, for the first three entities of each."""
+    reference, listed = _order_reference(spark, sf_dir), _listed_orders(spark, sf_dir)
+    line = F.transform("x", lambda e, i: F.when(i % 2 == 1, F.concat(F.lit("s"), i.cast("string"), F.lit(": ['"), e["name"], F.lit("', 'none of them']"))))
+    content = F.concat(F.lit("Model: O"), F.col("l_orderkey").cast("string"), F.lit("\nLLM: m\nTimestamp: 2025-01-02 03:04:05\n\nSynonyms:\n"), F.array_join(line, "\n"), F.lit("\n\nReason: none\n"))
+    model = F.concat(F.lit("O"), F.col("l_orderkey").cast("string"), F.lit(".xml")).alias("model")
+    previous = listed.select(model, F.col("l_orderkey").cast("double").alias("llm_time"), F.posexplode(F.slice("x", 1, 3)).alias("i", "e"))
+    previous = previous.select("model", F.concat(F.lit("s"), F.col("i").cast("string")).alias("species_id"), "llm_time")
+    found = workflows.replay(listed.select(model, content.alias("content")), order_models(spark, sf_dir), previous, {"chebi": reference}).table
+    joined = {c: F.array_join(F.col(of).cast("array<string>"), " ") for c, of in (("predictions", "predictions"), ("scores", "match_score"), ("existing", "exist_annotation_id"))}
+    return found.select("model", "species_id", *[c.alias(n) for n, c in joined.items()], "recall_exact", "precision_exact", "recall_formula", "precision_formula", "accuracy", "llm_time")
+
+
+@query("SELECT s_suppkey AS query_id, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey + 1 END AS doc_id, CASE WHEN s_suppkey % 2 = 0 THEN 0.75 END AS confidence FROM supplier")
+def best_match_or_none(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "supplier", "s_suppkey").select(F.col("s_suppkey").alias("query_id"))
+    found = rows.filter("query_id % 2 = 0").select("query_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("rank"))
+    found = found.select("query_id", "rank", (F.col("query_id") + F.col("rank")).alias("doc_id"), (F.col("rank") / 4).alias("distance"))
+    return vector.best_match(rows, found)
+
+
 # ---------------------------------------------------------------- flagship
 
 
