@@ -13,10 +13,10 @@ unevenly their subsequences fall on the two classes; then a machine is trained o
 document against units of the clean ones, the choice is made anew with it, and so on (multiple-instance
 learning). The machine is linear in the Nystroem map of the kernel's values against the landmark units, and is
 fitted by Newton steps on the squared hinge loss. A second such machine weighs the highest unit scores of a
-document against its length, so that a unit that is now and then innocent needs company; it is fitted on scores
-that each half of the documents gets from a machine trained on the other half. As the kernel's features are sums
-over subsequences, the trained machine is one weight for each subsequence, so scoring costs the same whatever the
-number of landmarks.
+document against its length, so that a unit that is now and then innocent needs company; it is fitted on
+every fifth document of each class, which the first machine has not seen (on all if a class has under five). As the
+kernel's features are sums over subsequences, the trained machine is one weight for each subsequence, so scoring costs
+the same whatever the number of landmarks.
 
 Only the fit reads a sample: up to ``max_docs`` documents of each class, of up to ``max_chars``
 characters, in the order of a hash of doc_id. Every text is scored whole.
@@ -220,22 +220,18 @@ def _standard_score(counts: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[str], labels: list[int], landmarks: int = 192, rounds: int = 4, seed: int = 5) -> ToxicityModel | None:
-    """Train on labelled texts; None without both classes."""
+    """Train on labelled texts; None without both classes. A fifth of them sets the document weights and threshold."""
     y = np.array(labels, np.int64)
     if not (y == 0).any() or not (y == 1).any():
         return None
     docs = [tokens(t) for t in texts]
-    # halves by turns within each class; a class of one document is in both
-    half = np.zeros(len(y), np.int64)
+    fifth = np.zeros(len(y), bool)
     for label in (0, 1):
-        half[y == label] = np.arange((y == label).sum()) % 2
-    x = np.zeros((len(y), 8))
-    for k in (0, 1):
-        rest = (half != k) | (np.bincount(y, minlength=2)[y] < 2)
-        machine = _fit_units([docs[i] for i in np.flatnonzero(rest)], y[rest], landmarks, rounds, seed)
-        for i in np.flatnonzero(half == k):
-            x[i] = _features_of(docs[i], machine)
-    model = _fit_units(docs, y, landmarks, rounds, seed)
+        fifth[np.flatnonzero(y == label)[4::5]] = True
+    judged = fifth if len({*y[fifth]}) == 2 else np.ones(len(y), bool)
+    model = _fit_units([docs[i] for i in np.flatnonzero(~fifth)], y[~fifth], landmarks, rounds, seed)
+    x = np.array([_features_of(docs[i], model) for i in np.flatnonzero(judged)])
+    y = y[judged]
     target = np.where(y == 1, 1.0, -1.0)
     model.document = _newton_svm(x, target, np.full(len(target), 1 / len(target)), ridge=1e-4)
     margin = x @ model.document
