@@ -80,7 +80,7 @@ def _repeat_words(words: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
 
 def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Positions in the order of their keys, each position's rank, and the number of different keys."""
-    array = np.argsort(key, kind="stable").astype(np.int32)
+    array = np.argsort(key).astype(np.int32)
     ordered = key[array]
     fresh = np.zeros(len(key), np.int32)
     fresh[1:] = ordered[1:] != ordered[:-1]
@@ -114,7 +114,7 @@ def suffix_repeats(words: np.ndarray, row: np.ndarray, first: np.ndarray, min_re
     a, b = a[kept], b[kept]
     sums, inverse = polynomial(words)
     common = np.zeros(len(a), np.int32)
-    size = 1 << max(0, int(np.diff(first).max()).bit_length() - 1)
+    size = step >> 1  # at the last ranks all windows of ``step`` words differ, or none is as long
     while size:
         at = np.flatnonzero((a + common + size <= last[a]) & (b + common + size <= last[b]))
         i, j = a[at] + common[at], b[at] + common[at]
