@@ -214,3 +214,27 @@ def test_services_by_model_name(spark):
         assert providers.ServiceEmbedder("e", address, "NO_KEY")(["a", "abc"]) == [[1.0], [3.0]]
     finally:
         server.shutdown()
+
+
+def test_saved_answers_need_few_parses(spark, sf):
+    """Every mention of a document's parse in the plan is work done anew."""
+    from annoloom.plans import catalogue
+
+    for name, most in (("annotate_workflow", 3), ("curate_workflow_figures", 4)):
+        plan = catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert 0 < plan.count("from_xml") <= most
+
+
+def test_curated_figures_of_odd_documents(spark):
+    """Entities of one id, without an id, without annotations, and documents without answers."""
+    noted, plain = CHEBI.format(5), "<annotation/>"
+    species = f'<species id="a">{noted}</species><species id="a">{plain}</species><species>{noted}</species><species id="b">{plain}</species>'
+    shape = "<sbml><model id='m'><listOfSpecies>{}</listOfSpecies></model></sbml>"
+    documents = spark.createDataFrame([("x/1.xml", shape.format(species)), ("x/2.xml", shape.format("")), ("x/3.xml", "<sbml"), ("x/4.xml", shape.format(species))], "file string, content string")
+    names = spark.createDataFrame([("sugar", "5", 0, 0)], "name string, db_id string, id_pos int, name_ord int")
+    labels = spark.createDataFrame([("5", "Sugar")], "db_id string, label string")
+    saved = spark.createDataFrame([("x/1.xml", 'a: "sugar"'), ("x/2.xml", 'a: "sugar"'), ("x/9.xml", 'a: "sugar"')], "model string, raw_response string")
+    run = workflows.curate(documents, None, {"chebi": workflows.Reference(names, labels)}, saved=saved)
+    got = {r["file"]: (r["status"], r["total_entities"]) for r in run.metrics.collect()}
+    assert got == {"1.xml": ("ok", 2), "2.xml": ("no entities", 0), "3.xml": ("malformed", 0), "4.xml": ("no answer", 2)}
+    assert [r["file"] for r in run.answers.collect()] == ["x/1.xml"]
