@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from annoloom.operators.workflow import predictions
+
 
 def _share(both: Column, whole: Column) -> Column:
     return F.when(whole > 0, both / whole).otherwise(0.0)
@@ -88,8 +90,8 @@ def replay(saved: DataFrame, previous: DataFrame, key: str = "model") -> tuple[D
 
 
 def simple_summary(table: DataFrame, by: str) -> DataFrame:
-    """Entities, entities with a candidate, candidates and matches of a recommendation table."""
-    predicted = F.col("annotation") != ""
+    """Entities, entities with a candidate, candidates and matches of a recommendation table, or one of counts."""
+    predicted, total = predictions(table)
     return table.groupBy(by).agg(
-        F.countDistinct("id").alias("entities"), F.countDistinct(F.when(predicted, F.col("id"))).alias("with_candidates"), F.count(F.when(predicted, 1)).alias("candidates"), F.sum("existing").cast("long").alias("matches")
+        F.countDistinct("id").alias("entities"), F.countDistinct(F.when(predicted, F.col("id"))).alias("with_candidates"), total.alias("candidates"), F.sum("existing").cast("long").alias("matches")
     )

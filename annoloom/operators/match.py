@@ -23,20 +23,27 @@ def with_default_synonym(entities: DataFrame, synonyms: DataFrame, keys: tuple[s
     return joined.withColumn("synonyms", F.coalesce("synonyms", F.array("entity_id")))
 
 
-def direct_match(mentions: DataFrame, index: DataFrame, options: LinkOptions | None = None) -> DataFrame:
-    """(entity_id, db_id, score, cand_pos). ``mentions`` has (entity_id, synonyms), ``index`` (name, db_id,
-    id_pos, name_ord). The score is hits over synonyms; candidates stand in order of first hit. Both sides are
-    folded by key before they meet, so a pair comes out of the join once however often its names repeat; hot
-    names are left to the split of skewed joins, for all their pairs are results."""
-    options = options or LinkOptions()
+def probe_keys(mentions: DataFrame) -> DataFrame:
+    """(entity_id, key, n, times, syn_pos) of mentions (entity_id, synonyms): their distinct keys."""
     probes = mentions.filter(~is_unknown(F.col("synonyms")) & (F.size("synonyms") > 0))
     probes = probes.select("entity_id", F.size("synonyms").alias("n"), F.posexplode("synonyms").alias("syn_pos", "synonym"))
     probes = probes.withColumn("key", normalise_name(F.col("synonym"))).filter("key <> ''")
-    probes = probes.groupBy("entity_id", "key").agg(F.first("n").alias("n"), F.count("*").alias("times"), F.min("syn_pos").alias("syn_pos"))
+    return probes.groupBy("entity_id", "key").agg(F.first("n").alias("n"), F.count("*").alias("times"), F.min("syn_pos").alias("syn_pos"))
+
+
+def known_keys(index: DataFrame, options: LinkOptions) -> DataFrame:
+    """(key, db_id, names, place) of an index (name, db_id, id_pos, name_ord)."""
     key = F.lower("name") if options.compat else normalise_name(F.col("name"))
     known = index.withColumn("key", key).filter("key <> ''")
-    known = known.groupBy("key", "db_id").agg(F.count("*").alias("names"), F.min(F.struct("name_ord", "id_pos")).alias("place"))
-    hits = probes.join(known, "key")
+    return known.groupBy("key", "db_id").agg(F.count("*").alias("names"), F.min(F.struct("name_ord", "id_pos")).alias("place"))
+
+
+def direct_match(mentions: DataFrame, index: DataFrame, options: LinkOptions | None = None) -> DataFrame:
+    """(entity_id, db_id, score, cand_pos). ``mentions`` has (entity_id, synonyms), ``index`` (name, db_id,
+    id_pos, name_ord). The score is hits over synonyms; candidates stand in order of first hit. Both sides are
+    folded by key before they meet, so a pair comes out of the join once however often its names repeat; hot
+    names are left to the split of skewed joins, for all their pairs are results."""
+    hits = probe_keys(mentions).join(known_keys(index, options or LinkOptions()), "key")
     first = F.struct("syn_pos", "place.name_ord", "place.id_pos")
     scored = hits.groupBy("entity_id", "db_id").agg((F.sum(F.col("times") * F.col("names")) / F.first("n")).alias("score"), F.min(first).alias("first"))
     order = Window.partitionBy("entity_id").orderBy("first", "db_id")

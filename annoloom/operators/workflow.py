@@ -31,7 +31,12 @@ def recommendation_table(entities: DataFrame, candidates: DataFrame, existing: D
     known = existing.select(F.col("entity_id").alias("id"), "db_id").distinct().withColumn("existing", F.lit(1))
     named = labels.select("db_id", F.col("label").alias("annotation_label"))
     rows = entities.join(candidates.withColumnRenamed("entity_id", "id"), "id", "left").join(known, ["id", "db_id"], "left").join(named, "db_id", "left")
-    rows = rows.withColumn("existing", F.coalesce("existing", F.lit(0)))
+    return shown_table(rows.withColumn("existing", F.coalesce("existing", F.lit(0))), options, curate=curate)
+
+
+def shown_table(rows: DataFrame, options: LinkOptions | None = None, *, curate: bool = False) -> DataFrame:
+    """The columns of a recommendation table, from rows of entities with (db_id, score, cand_pos, existing, annotation_label)."""
+    options = options or LinkOptions()
     action = curate_action(F.col("existing")) if curate else annotate_action(F.col("existing"), F.col("cand_pos"), F.col("score"), options.add_threshold)
     text = F.col("db_id").cast("string")
     name = text if curate else F.concat(F.lit(options.prefix()), text)
@@ -45,16 +50,25 @@ def recommendation_table(entities: DataFrame, candidates: DataFrame, existing: D
     )
 
 
+def predictions(table: DataFrame) -> tuple[Column, Column]:
+    """Whether a row has a prediction, and the number of all, of a recommendation table or one of counts."""
+    if "candidates" in table.columns:
+        return F.col("candidates") > 0, F.coalesce(F.sum("candidates"), F.lit(0)).cast("long")
+    predicted = F.col("annotation") != ""
+    return predicted, F.count(F.when(predicted, 1))
+
+
 def metrics(table: DataFrame, *, curate: bool = False, annotated: DataFrame | None = None) -> DataFrame:
     """One row of figures. Accuracy: matching entities over entities with existing annotations (``annotated``:
-    id); in curation, matching rows over entities with predictions, which can exceed 1."""
-    predicted = F.col("annotation") != ""
+    id); in curation, matching rows over entities with predictions, which can exceed 1. The table can be one of
+    counts (``folded.counted_table``)."""
+    predicted, total = predictions(table)
     one = table.agg(
         F.countDistinct("id").alias("total_entities"),
         F.countDistinct(F.when(predicted, F.col("id"))).alias("entities_with_predictions"),
-        F.count(F.when(predicted, 1)).alias("total_predictions"),
+        total.alias("total_predictions"),
         F.coalesce(F.sum("existing"), F.lit(0)).cast("long").alias("matches"),
-        F.countDistinct(F.when(F.col("existing") == 1, F.col("id"))).alias("matched_entities"),
+        F.countDistinct(F.when(F.col("existing") > 0, F.col("id"))).alias("matched_entities"),
     )
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
     one = one.withColumn("annotation_rate", F.coalesce(share("entities_with_predictions", "total_entities"), F.lit(0.0)))
