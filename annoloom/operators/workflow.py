@@ -34,17 +34,30 @@ def recommendation_table(entities: DataFrame, candidates: DataFrame, existing: D
     return shown_table(rows.withColumn("existing", F.coalesce("existing", F.lit(0))), options, curate=curate)
 
 
-def shown_table(rows: DataFrame, options: LinkOptions | None = None, *, curate: bool = False) -> DataFrame:
-    """The columns of a recommendation table, from rows of entities with (db_id, score, cand_pos, existing, annotation_label)."""
+def shown_id(options: LinkOptions | None = None, *, curate: bool = False) -> dict[str, Column]:
+    """How a table shows an id (db_id, annotation_label): its name and its label."""
     options = options or LinkOptions()
-    action = curate_action(F.col("existing")) if curate else annotate_action(F.col("existing"), F.col("cand_pos"), F.col("score"), options.add_threshold)
     text = F.col("db_id").cast("string")
     name = text if curate else F.concat(F.lit(options.prefix()), text)
+    return {"annotation": F.coalesce(name, F.lit("")), "shown_label": F.when(text.isNotNull(), F.coalesce("annotation_label", text)).otherwise("")}
+
+
+def shown_score(digits: int | None = None) -> dict[str, Column]:
+    """How a table shows a score: rounded to ``digits``, 0 if there is none."""
+    return {"match_score": F.coalesce("score" if digits is None else F.round("score", digits), F.lit(0.0))}
+
+
+def shown_table(rows: DataFrame, options: LinkOptions | None = None, *, curate: bool = False) -> DataFrame:
+    """The columns of a recommendation table, from rows of entities with (db_id, score, cand_pos, existing,
+    annotation_label). Columns of ``shown_id`` and ``shown_score`` that the rows have are taken as they are."""
+    options = options or LinkOptions()
+    action = curate_action(F.col("existing")) if curate else annotate_action(F.col("existing"), F.col("cand_pos"), F.col("score"), options.add_threshold)
+    shown = {c: F.col(c) if c in rows.columns else made for c, made in (shown_id(options, curate=curate) | shown_score()).items()}
     return rows.select(
         "file", "type", "id", "display_name",
-        F.coalesce(name, F.lit("")).alias("annotation"),
-        F.when(text.isNotNull(), F.coalesce("annotation_label", text)).otherwise("").alias("annotation_label"),
-        F.coalesce("score", F.lit(0.0)).alias("match_score"),
+        shown["annotation"].alias("annotation"),
+        shown["shown_label"].alias("annotation_label"),
+        shown["match_score"].alias("match_score"),
         F.col("existing").cast("int").alias("existing"),
         action.alias("update_annotation"),
     )
